@@ -8,9 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Whitespace as the capture side understands it: ASCII plus the Unicode spaces.
-_SPACES = r"\s   -     　﻿"
+_SPACES = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 _NOT_AFTER_WORD = r"(?<![A-Za-z0-9_])"
 _NOT_BEFORE_WORD = r"(?![A-Za-z0-9_])"
+_BEFORE_WORD = r"(?=[A-Za-z0-9_])"
 
 
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
@@ -26,6 +27,8 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
         if two == r"\b":
             opening = i + 2 < len(pattern) and pattern[i + 2] not in ")|"
             out.append(_NOT_AFTER_WORD if opening else _NOT_BEFORE_WORD)
+            if opening and pattern[i + 2] == "[":
+                out.append(_BEFORE_WORD)  # a class may also hold punctuation
             i += 2
         elif two == r"\s":
             out.append(f"[{_SPACES}]")
@@ -122,4 +125,4 @@ def split_tool_name(name: Column, native: str) -> tuple[Column, Column]:
 def tool_tokens(name: Column) -> Column:
     """Lower-case tokens of a snake, kebab or camel case tool name."""
     spaced = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2")
-    return F.filter(F.transform(F.split(spaced, java_regex(r"[_-]|\s") + "+"), F.lower), lambda t: F.length(t) > 0)
+    return F.filter(F.transform(F.split(spaced, java_regex(r"(?:[_-]|\s)+")), F.lower), lambda t: F.length(t) > 0)

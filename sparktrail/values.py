@@ -95,19 +95,19 @@ NIF_FIRST = "1235689"
 CODICE_FISCALE_ODD = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23)
 
 # --- fixed values: published shapes of API keys and tokens -------------------
-# type, shape of the whole match; order decides which shape wins at one place.
+# type, shape after an ASCII word edge; order decides which shape wins at one place.
 CREDENTIAL_PATTERNS = (
-    ("anthropic_api_key", r"\bsk-ant-[A-Za-z0-9_-]{20,}"),
-    ("openai_api_key", r"\bsk-[A-Za-z0-9_-]{20,}"),
-    ("github_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}"),
-    ("github_pat", r"\bgithub_pat_[A-Za-z0-9_]{22,}"),
-    ("gitlab_token", r"\bglpat-[A-Za-z0-9_-]{20,}"),
-    ("npm_token", r"\bnpm_[A-Za-z0-9]{36,}"),
-    ("aws_access_key_id", r"\bA[KS]IA[A-Z0-9]{16}\b"),
-    ("google_api_key", r"\bAIza[A-Za-z0-9_-]{35}"),
-    ("slack_token", r"\bxox[baprs]-[A-Za-z0-9-]{10,}"),
-    ("stripe_key", r"\b[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    ("generic_token", r"\b(?:token|secret|api_key)\s{0,3}[=:]\s{0,3}\"[0-9a-f]{40}\""),
+    ("anthropic_api_key", r"sk-ant-[A-Za-z0-9_-]{20,}"),
+    ("openai_api_key", r"sk-[A-Za-z0-9_-]{20,}"),
+    ("github_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    ("github_pat", r"github_pat_[A-Za-z0-9_]{22,}"),
+    ("gitlab_token", r"glpat-[A-Za-z0-9_-]{20,}"),
+    ("npm_token", r"npm_[A-Za-z0-9]{36,}"),
+    ("aws_access_key_id", r"A[KS]IA[A-Z0-9]{16}\b"),
+    ("google_api_key", r"AIza[A-Za-z0-9_-]{35}"),
+    ("slack_token", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
+    ("stripe_key", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
+    ("generic_token", r"(?:token|secret|api_key)\s{0,3}[=:]\s{0,3}\"[0-9a-f]{40}\""),
 )
 
 # --- fixed values: argument summary keys and display labels ------------------
