@@ -110,7 +110,12 @@ def _fp(s: str) -> str:
     return f"substr(sha256({_ipad(X.HMAC_KEY, 0x5C)} || unhex({inner})), 1, 16)"
 
 
-def build(V, pii_types) -> dict[str, str]:
+def build_counts(V, pii_types):
+    """The SQL of the emitted detections for any base of (unit_id, source, scan_text, tool)."""
+    return build(V, pii_types, emitter=True)
+
+
+def build(V, pii_types, emitter=False):
     planted = X.select_sql(X.planted_columns("duckdb"), "documents")
     natural = "SELECT doc_id AS unit_id, source, text AS scan_text, CAST(NULL AS VARCHAR) AS tool FROM documents"
     check = _check(V)
@@ -172,6 +177,9 @@ def build(V, pii_types) -> dict[str, str]:
             " SELECT unit_id, row_number() OVER (PARTITION BY unit_id ORDER BY pos) - 1 AS ordinal, category, severity, n FROM e"
         )
 
+    if emitter:
+        return emitted
+
     def one(n: str, severity: str) -> str:
         return f"SELECT unit_id, {severity} AS severity, CAST({n} AS BIGINT) AS n FROM ({counts(planted, ())}) WHERE {n} > 0"
 

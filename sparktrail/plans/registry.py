@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import importlib
 
-_AREAS = ("detection",)
+_AREAS = ("detection", "traffic", "sets")
 
 
 def _prepared(fn):
