@@ -324,3 +324,42 @@ def manifests_sql() -> str:
 
 def members(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").selectExpr(*MEMBER_COLUMNS)
+
+
+def raw_trail_columns(dialect: str) -> list[str]:
+    """Trail lines as JSON text, some broken or out of shape."""
+    fields = {
+        "v": "'1'",
+        "id": "'\"' || lpad(CAST(event_id AS STRING), 12, '0') || '\"'",
+        "ts": f"'\"' || {_ISO[dialect]} || '\"'",
+        "session": "'\"s' || user_id || '\"'",
+        "mcp": "CASE WHEN event_id % 29 = 0 THEN '\"selftest\"' ELSE '\"m' || (event_id % 7) || '\"' END",
+        "type": "CASE event_type WHEN 'signup' THEN '\"mcp.detection_enrichment\"' WHEN 'purchase' THEN '\"mcp.response\"' ELSE '\"mcp.request\"' END",
+        "direction": "CASE WHEN event_id % 31 = 0 THEN '\"sideways\"' ELSE '\"client_to_server\"' END",
+        "rpcId": "CASE event_id % 4 WHEN 0 THEN CAST(event_id AS STRING) WHEN 1 THEN '\"t' || event_id || '\"' WHEN 2 THEN 'null' ELSE '{}' END",
+        "method": "CASE WHEN event_id % 5 = 0 THEN '\"ping\"' ELSE '\"tools/call\"' END",
+        "params": "'{\"name\":\"tool_' || (event_id % 11) || '\",\"arguments\":{\"command\":\"run ' || event_id || '\"},\"_meta\":{\"claudecode/toolUseId\":\"u' || event_id || '\"}}'",
+        "source": "CASE WHEN event_id % 3 = 0 THEN '\"claude-code\"' ELSE '\"gateway\"' END",
+        "detection": "CASE WHEN event_id % 37 = 0 THEN '5' ELSE '{\"category\":\"pii_structured\",\"severity\":\"medium\",\"findings\":[{\"type\":\"email\",\"location\":\"params\"}]}' END",
+    }
+    body = " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in fields.items())
+    return [
+        "event_id",
+        "event_type",
+        f"CASE WHEN event_id % 23 = 0 THEN '{{broken ' || event_id WHEN event_id % 41 = 0 THEN '' ELSE '{{' || {body} || '}}' END AS raw",
+    ]
+
+
+ARGS_COLUMNS = [
+    "event_id",
+    "CASE event_id % 4 WHEN 0 THEN 'Bash' WHEN 1 THEN 'Read' WHEN 2 THEN 'search' ELSE 'other' END AS tool_name",
+    "'/w/p' || (event_id % 5) || CASE WHEN event_id % 2 = 0 THEN '/' ELSE '' END AS cwd",
+    "CASE event_id % 8 WHEN 0 THEN '{\"path\":\"/x\",\"command\":\"  run   ' || event_id || ' \"}'"
+    " WHEN 1 THEN '{\"command\":\"c\",\"file_path\":\"/w/p' || (event_id % 5) || '/src/f' || user_id || '\"}'"
+    " WHEN 2 THEN '{\"n\":1,\"query\":\"' || repeat('word ' || user_id || ' ', 40) || '\"}'"
+    " WHEN 3 THEN '{\"n\":1,\"title\":\"t' || event_id || '\",\"z\":\"no\"}'"
+    " WHEN 4 THEN '{\"command\":\"   \",\"path\":\"/w/p' || (event_id % 5) || '/a b\"}'"
+    " WHEN 5 THEN '{\"n\":1,\"m\":{\"s\":\"x\"}}'"
+    " WHEN 6 THEN '[\"a\"]'"
+    " ELSE '{\"out_path\":\"/w/p' || (event_id % 5) || '/o' || event_id || '\"}' END AS args_json",
+]
