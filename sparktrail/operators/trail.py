@@ -68,44 +68,45 @@ def detection_rows(rows: DataFrame, selftest_mcp: str = "selftest") -> DataFrame
     return rows.where(shaped & ~F.col("mcp").eqNullSafe(F.lit(selftest_mcp))).drop("_listed")
 
 
-def args_summary(tool: Column, args: Column, cwd: Column) -> Column:
-    """One short line for a call: its leading argument, relative to the project.
+def with_args_summary(
+    rows: DataFrame, tool: str = "tool_name", args: str = "args_json", cwd: str = "cwd", out: str = "args_summary"
+) -> DataFrame:
+    """Add one short line per call: its leading argument, relative to the project.
 
     The tool's own key comes first, then a fixed list, then the first string
-    value in the order of the JSON text.
+    value in the order of the JSON text. Arguments are parsed once per row.
     """
-    v = J.parsed(args)
-
-    def filled(value: Column) -> Column:
-        return F.when(F.trim(F.regexp_replace(value, java_regex(r"\s+"), " ")) != "", value)
+    v, folder = F.col("_args"), F.col("_base")
+    space = java_regex(r"\s+")
+    staged = rows.select(
+        "*", J.parsed(F.col(args)).alias("_args"), F.concat(F.regexp_replace(cwd, "/$", ""), F.lit("/")).alias("_base")
+    )
 
-    def relative(key: Column | str, value: Column) -> Column:
-        if isinstance(key, str) and not (key == "path" or key.endswith("_path")):
-            return value
-        base = F.concat(F.regexp_replace(cwd, "/$", ""), F.lit("/"))
-        inside = F.startswith(value, base) & (F.length(value) > F.length(base))
-        if isinstance(key, Column):
-            inside = inside & ((key == "path") | F.endswith(key, F.lit("_path")))
-        return F.when(inside, F.substr(value, F.length(base) + 1)).otherwise(value)
+    def relative(value: Column) -> Column:
+        inside = F.startswith(value, folder) & (F.length(value) > F.length(folder))
+        return F.when(inside, F.substr(value, F.length(folder) + 1)).otherwise(value)
 
-    def at(key: str) -> Column:
-        return relative(key, filled(J.string_at(v, f"$.{key}")))
+    def filled(value: Column) -> Column:
+        return F.when(F.trim(F.regexp_replace(value, space, " ")) != "", value)
 
-    own = F.when(tool == "Bash", at("command")).when(tool.isin(*V.FILE_TOOLS), at("file_path"))
-    listed = [at(k) for k in V.ARGS_SUMMARY_KEYS]
+    found = {k: filled(J.string_at(v, f"$.{k}")).alias(f"_k_{k}") for k in V.ARGS_SUMMARY_KEYS}
+    staged = staged.select("*", *found.values())
+    at = {k: relative(F.col(f"_k_{k}")) if k.endswith("path") else F.col(f"_k_{k}") for k in found}
+    own = F.when(F.col(tool) == "Bash", at["command"]).when(F.col(tool).isin(*V.FILE_TOOLS), at["file_path"])
 
     def keyed(k: Column) -> Column:
         path = F.concat(F.lit('$["'), k, F.lit('"]'))
-        value = F.try_variant_get(v, path, "variant")
-        text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(v, path, "string"))
-        return relative(k, filled(text))
-
-    any_text = F.filter(F.transform(F.json_object_keys(args), keyed), lambda s: s.isNotNull())
-    fallback = F.try_element_at(any_text, F.lit(1))
-    line = F.trim(F.regexp_replace(F.coalesce(own, *listed, fallback), java_regex(r"\s+"), " "))
-    clipped = F.concat(F.left(line, F.lit(V.ARGS_SUMMARY_CHARS - 1)), F.lit("…"))
-    summary = F.when(F.length(line) <= V.ARGS_SUMMARY_CHARS, line).otherwise(clipped)
-    return F.when(J.starts_object(args), summary)
+        is_text = F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING"
+        text = F.when(is_text, filled(F.try_variant_get(v, path, "string")))
+        return F.when((k == "path") | F.endswith(k, F.lit("_path")), relative(text)).otherwise(text)
+
+    texts = F.filter(F.transform(F.json_object_keys(F.col(args)), keyed), lambda s: s.isNotNull())
+    chosen = F.coalesce(own, *at.values(), F.try_element_at(texts, F.lit(1)))
+    staged = staged.select(*rows.columns, F.when(J.starts_object(F.col(args)), chosen).alias("_chosen"))
+    staged = staged.withColumn("_line", F.trim(F.regexp_replace("_chosen", space, " ")))
+    clipped = F.concat(F.left("_line", F.lit(V.ARGS_SUMMARY_CHARS - 1)), F.lit("…"))
+    summary = F.when(F.length("_line") <= V.ARGS_SUMMARY_CHARS, F.col("_line")).otherwise(clipped)
+    return staged.select(*rows.columns, summary.alias(out))
 
 
 def dedupe_first(rows: DataFrame, order: list[str], key: str = "id") -> DataFrame:

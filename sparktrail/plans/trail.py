@@ -31,9 +31,9 @@ def _parts(spark, sf):
 
 
 def gold(spark, sf):
-    rows = assemble.assemble(X.trail(spark, sf), ORDER)
-    summary = trail.args_summary(F.col("tool_name"), F.col("args_json"), F.col("cwd"))
-    return rows.withColumn("args_summary", F.when(F.col("type") == "mcp.request", summary))
+    """Assembled rows; the args summary is made for requests before assembly."""
+    rows = X.trail(spark, sf).withColumn("args_json", F.when(F.col("type") == "mcp.request", F.col("args_json")))
+    return assemble.assemble(trail.with_args_summary(rows), ORDER)
 
 
 def trail_scan(spark, sf):
@@ -176,9 +176,7 @@ def last_purge_marker(spark, sf):
 
 def args_summary(spark, sf):
     rows = table(spark, sf, "events").selectExpr(*X.ARGS_COLUMNS)
-    return rows.select(
-        "event_id", trail.args_summary(F.col("tool_name"), F.col("args_json"), F.col("cwd")).alias("summary")
-    )
+    return trail.with_args_summary(rows, out="summary").select("event_id", "summary")
 
 
 def report_labels(spark, sf):
@@ -367,7 +365,7 @@ ORACLES = {
     "drop_accounting": _T
     + "SELECT type, CASE event_id % 3 WHEN 0 THEN 'queue_full' WHEN 1 THEN 'worker_dead' ELSE 'error' END AS reason, count(*) AS n FROM t WHERE type = 'proxy.ner_dropped' GROUP BY ALL",
     "last_purge_marker": _T + "SELECT id, session, mcp, message FROM t WHERE type = 'app.retention_purged' ORDER BY ts_raw DESC, id DESC LIMIT 1",
-    "args_summary": f"""WITH a AS ({X.select_sql(X.ARGS_COLUMNS, '(SELECT * FROM events)')}, u AS (SELECT user_id, event_id FROM events)
+    "args_summary": f"""WITH a AS ({X.select_sql(X.ARGS_COLUMNS, 'events')}), u AS (SELECT user_id, event_id FROM events)
       SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'run ' || event_id
         WHEN 1 THEN CASE WHEN tool_name = 'Read' THEN 'src/f' || user_id ELSE 'c' END
         WHEN 2 THEN left(trim(repeat('word ' || user_id || ' ', 40)), 99) || '…'
