@@ -363,3 +363,47 @@ ARGS_COLUMNS = [
     " WHEN 6 THEN '[\"a\"]'"
     " ELSE '{\"out_path\":\"/w/p' || (event_id % 5) || '/o' || event_id || '\"}' END AS args_json",
 ]
+
+LATER = "2024-02-05 00:00:00"
+RETENTION_NOW = "2024-02-29 12:00:00"
+
+_ENCODE = {
+    "spark": " || ".join(
+        f"substr('{V.ULID_ALPHABET}', cast((ms div {32**k}) % 32 + 1 AS INT), 1)" for k in range(9, -1, -1)
+    ),
+    "duckdb": " || ".join(f"substr('{V.ULID_ALPHABET}', (ms // {32**k}) % 32 + 1, 1)" for k in range(9, -1, -1)),
+}
+
+
+def session_columns(dialect: str) -> list[str]:
+    return [
+        "session",
+        "first_ts",
+        "last_ts",
+        "terminal",
+        "ms",
+        f"CASE WHEN user_id % 37 = 0 THEN 'notes-' || user_id ELSE {_ENCODE[dialect]} || lpad(CAST(user_id AS STRING), 16, '0') END AS ulid",
+    ]
+
+
+SESSION_GROUPS = {
+    "duckdb": "user_id, 's' || user_id AS session, min(ts) AS first_ts, max(ts) AS last_ts, max(value) > 60 AS terminal,"
+    " epoch_us(min(ts)) // 1000 AS ms",
+}
+
+
+def session_files(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events").selectExpr("user_id", "CAST(ts AS TIMESTAMP) AS ts", "value")
+    from pyspark.sql import functions as F
+
+    grouped = events.groupBy("user_id").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), (F.max("value") > 60).alias("terminal")
+    )
+    named = grouped.selectExpr("*", "'s' || user_id AS session", "unix_millis(first_ts) AS ms")
+    return named.selectExpr(*session_columns("spark"))
+
+
+def session_files_sql() -> str:
+    return select_sql(
+        session_columns("duckdb"), f"(SELECT {SESSION_GROUPS['duckdb']} FROM events GROUP BY user_id)"
+    )

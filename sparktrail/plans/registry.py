@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import importlib
 
-_AREAS = ("detection", "traffic", "sets", "trail")
+_AREAS = ("detection", "traffic", "sets", "trail", "lifecycle")
 
 
 SETTINGS = {
