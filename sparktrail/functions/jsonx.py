@@ -15,9 +15,26 @@ def starts_object(line: Column) -> Column:
     return line.rlike(r"^[ \t\r\n]*\{")
 
 
-def kind_of(variant: Column, path: str) -> Column:
+def fields(line: Column, typed: tuple[str, ...] = (), raw: tuple[str, ...] = ()) -> Column:
+    """Top-level members of a JSON object in one parse.
+
+    ``typed`` members come as VARIANT: an explicit null is a value, an absent
+    member is NULL. ``raw`` members come as their text with key order kept (a
+    string unquoted). ``_corrupt`` is set when the text is not an object.
+    """
+    schema = ", ".join([*(f"`{n}` VARIANT" for n in typed), *(f"`{n}` STRING" for n in raw), "_corrupt STRING"])
+    return F.from_json(line, schema, {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"})
+
+
+def is_object(line: Column, parsed_fields: str) -> Column:
+    """Whether the line as a whole is one JSON object, given its ``fields``."""
+    whole = line.rlike(r"^[ \t\r\n]*\{") & F.endswith(F.rtrim(line), F.lit("}"))
+    return F.coalesce(whole & F.col(f"{parsed_fields}._corrupt").isNull(), F.lit(False))
+
+
+def kind(variant: Column) -> Column:
     """'string', 'number', 'null', 'object', 'array', 'boolean'; NULL when absent."""
-    schema = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
+    schema = F.schema_of_variant(variant)
     return (
         F.when(schema == "STRING", "string")
         .when(schema == "VOID", "null")
@@ -28,22 +45,35 @@ def kind_of(variant: Column, path: str) -> Column:
     )
 
 
-def string_at(variant: Column, path: str) -> Column:
-    """The value at ``path`` when it is a string, else NULL."""
-    return F.when(kind_of(variant, path) == "string", F.try_variant_get(variant, path, "string"))
+def text(variant: Column) -> Column:
+    """The value when it is a string, else NULL."""
+    return F.when(F.schema_of_variant(variant) == "STRING", F.try_variant_get(variant, "$", "string"))
+
 
+def scalar(variant: Column) -> Column:
+    """A string or number as text, else NULL."""
+    return F.when(kind(variant).isin("string", "number"), F.try_variant_get(variant, "$", "string"))
 
-def scalar_at(variant: Column, path: str) -> Column:
-    """String or number at ``path`` as text, else NULL."""
-    return F.when(kind_of(variant, path).isin("string", "number"), F.try_variant_get(variant, path, "string"))
 
+def number(variant: Column) -> Column:
+    return F.when(kind(variant) == "number", F.try_variant_get(variant, "$", "bigint"))
 
-def number_at(variant: Column, path: str) -> Column:
-    return F.when(kind_of(variant, path) == "number", F.try_variant_get(variant, path, "bigint"))
 
+def boolean(variant: Column) -> Column:
+    return F.when(kind(variant) == "boolean", F.try_variant_get(variant, "$", "boolean"))
 
-def boolean_at(variant: Column, path: str) -> Column:
-    return F.when(kind_of(variant, path) == "boolean", F.try_variant_get(variant, path, "boolean"))
+
+def at(variant: Column, path: str) -> Column:
+    return F.try_variant_get(variant, path, "variant")
+
+
+def kind_of(variant: Column, path: str) -> Column:
+    return kind(at(variant, path))
+
+
+def string_at(variant: Column, path: str) -> Column:
+    """The value at ``path`` when it is a string, else NULL."""
+    return F.when(F.schema_of_variant(at(variant, path)) == "STRING", F.try_variant_get(variant, path, "string"))
 
 
 def raw_at(line: Column, path: str) -> Column:

@@ -30,10 +30,21 @@ INBOUND_CHAIN: tuple[Detector, ...] = (
 # Hook results keep the broad export rule, at the lowest severity.
 HOOK_INBOUND_CHAIN: tuple[Detector, ...] = (
     *INBOUND_CHAIN[:3],
-    D.data_export("result", "low"),
+    D.data_export("result", "'low'"),
     INBOUND_CHAIN[4],
 )
 
+# Hook rows of both sides in one pass: labels follow the row's ``type``. Results
+# have no tool name, so their tool branch is silent by itself.
+_SIDE = "if(type = 'mcp.request', 'params', 'result')"
+HOOK_CHAIN: tuple[Detector, ...] = (
+    D.credentials(sql=_SIDE),
+    D.injection(sql=_SIDE),
+    D.email_send(sql=_SIDE),
+    D.data_export(severity="if(type = 'mcp.request', 'medium', 'low')", sql=_SIDE),
+    D.pii(sql=_SIDE),
+)
+
 POLICIES: dict[str, tuple[tuple[Detector, ...], bool]] = {
     "request": (REQUEST_CHAIN, True),
     "inbound": (INBOUND_CHAIN, False),
@@ -54,7 +65,7 @@ def classify(
     text: str,
     tool: str | None = None,
     chain: Sequence[Detector] = REQUEST_CHAIN,
-    with_baseline: bool = True,
+    with_baseline: bool | Column = True,
     out: str = "detections",
     secrets: str | None = None,
 ) -> DataFrame:
@@ -63,7 +74,7 @@ def classify(
     The steps are separate projections on purpose: each gate, regex and checksum
     is evaluated once, and Catalyst does not merge projections that would repeat
     them. ``secrets`` names an extra column with the credential values to mask,
-    taken from the same scan.
+    taken from the same scan. ``with_baseline`` may be a condition per row.
     """
     kept = list(df.columns)
     named = df.select("*", F.col(text).alias("_text"), *([F.col(tool).alias("_tool")] if tool else []))
@@ -76,8 +87,9 @@ def classify(
     extra = [D.credential_secrets("_m_hits").alias(secrets)] if secrets else []
     built = staged.select(*kept, *extra, *[d.build(scan).cast(D.DETECTION).alias(f"_d{i}") for i, d in enumerate(chain)])
     fired = F.array_compact(F.array(*[F.col(f"_d{i}") for i in range(len(chain))]))
-    if with_baseline:
-        fired = F.when(F.size(fired) == 0, F.array(baseline())).otherwise(fired)
+    if with_baseline is not False:
+        wanted = F.lit(True) if with_baseline is True else with_baseline
+        fired = F.when((F.size(fired) == 0) & wanted, F.array(baseline())).otherwise(fired)
     return built.select(*kept, *([secrets] if secrets else []), fired.alias(out))
 
 

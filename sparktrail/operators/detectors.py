@@ -74,7 +74,12 @@ def _count(gate: str, pattern: str) -> Column:
 
 
 def _repeat(kind: str, n: str, location: str) -> str:
-    return f"array_repeat(named_struct('type', '{kind}', 'location', '{location}'), {n})"
+    return f"array_repeat(named_struct('type', '{kind}', 'location', {location}), {n})"
+
+
+def _place(location: str, sql: str | None) -> str:
+    """SQL of the finding location: a constant, or an expression over the row."""
+    return sql or f"'{location}'"
 
 
 def _block(category: str, severity: str, findings: str, fired: str) -> Column:
@@ -115,9 +120,11 @@ def credential_secrets(hits: str) -> Column:
     return F.expr(f"transform({hits}, h -> if(endswith(h, '\"'), {value}, h))")
 
 
-def credentials(location: str = "params") -> Detector:
+def credentials(location: str = "params", sql: str | None = None) -> Detector:
+    place = _place(location, sql)
+
     def build(_scan):
-        one = f"named_struct('type', {credential_type('h')}, 'location', '{location}')"
+        one = f"named_struct('type', {credential_type('h')}, 'location', {place})"
         return _block("credential_detected", "'critical'", f"transform(_m_hits, h -> {one})", "size(_m_hits) > 0")
 
     return Detector("credential_detected", build, credential_gates, credential_hits)
@@ -141,11 +148,11 @@ def injection_counts(_scan: Scan) -> dict[str, Column]:
     return {f"_m_{kind}": _count(f"_g_{kind}", p) for kind, p in V.INJECTION_PATTERNS.items()}
 
 
-def injection(location: str = "params") -> Detector:
-    kinds = list(V.INJECTION_PATTERNS)
+def injection(location: str = "params", sql: str | None = None) -> Detector:
+    kinds, place = list(V.INJECTION_PATTERNS), _place(location, sql)
 
     def build(_scan):
-        found = "concat(" + ", ".join(_repeat(k, f"_m_{k}", location) for k in kinds) + ")"
+        found = "concat(" + ", ".join(_repeat(k, f"_m_{k}", place) for k in kinds) + ")"
         return _block("prompt_injection", "'critical'", found, " + ".join(f"_m_{k}" for k in kinds) + " > 0")
 
     return Detector("prompt_injection", build, injection_gates, injection_counts)
@@ -173,7 +180,7 @@ def tool_send_tier(tool: Column) -> Column:
     return F.when(sends, 2).when(drafts, 1).otherwise(0)
 
 
-def email_send(location: str = "params") -> Detector:
+def email_send(location: str = "params", sql: str | None = None) -> Detector:
     """Text commands are high; send-like tool names high, draft-like ones medium."""
 
     def gates(_scan):
@@ -186,9 +193,9 @@ def email_send(location: str = "params") -> Detector:
 
     def build(_scan):
         parts = [
-            _repeat("email_send_command", "_m_email_0 + _m_email_1", location),
-            _repeat("email_send_tool", "if(_m_tier = 2, 1, 0)", "tool"),
-            _repeat("email_compose_tool", "if(_m_tier = 1, 1, 0)", "tool"),
+            _repeat("email_send_command", "_m_email_0 + _m_email_1", _place(location, sql)),
+            _repeat("email_send_tool", "if(_m_tier = 2, 1, 0)", "'tool'"),
+            _repeat("email_compose_tool", "if(_m_tier = 1, 1, 0)", "'tool'"),
         ]
         severity = "if(_m_email_0 + _m_email_1 > 0 OR _m_tier = 2, 'high', 'medium')"
         return _block(
@@ -220,7 +227,7 @@ _INBOUND_GATES = (
 )
 
 
-def _export(patterns, words, kind: str, severity: str, location: str) -> Detector:
+def _export(patterns, words, kind: str, severity: str, place: str) -> Detector:
     def gates(_scan):
         return {f"_g_{kind}_{i}": _all_of(*w) for i, w in enumerate(words)}
 
@@ -229,18 +236,19 @@ def _export(patterns, words, kind: str, severity: str, location: str) -> Detecto
 
     def build(_scan):
         total = f"_m_{kind}_0 + _m_{kind}_1"
-        return _block("data_export_warning", f"'{severity}'", _repeat(kind, total, location), f"{total} > 0")
+        return _block("data_export_warning", severity, _repeat(kind, total, place), f"{total} > 0")
 
     return Detector("data_export_warning", build, gates, measures)
 
 
-def data_export(location: str = "params", severity: str = "medium") -> Detector:
-    return _export(V.EXPORT_PATTERNS, _EXPORT_GATES, "data_export_command", severity, location)
+def data_export(location: str = "params", severity: str = "'medium'", sql: str | None = None) -> Detector:
+    """``severity`` is SQL, so that it may depend on the row."""
+    return _export(V.EXPORT_PATTERNS, _EXPORT_GATES, "data_export_command", severity, _place(location, sql))
 
 
 def data_export_inbound(location: str = "params") -> Detector:
     """Strict form for results: an explicit destination must be named."""
-    return _export(V.INBOUND_EXPORT_PATTERNS, _INBOUND_GATES, "data_export_destination", "medium", location)
+    return _export(V.INBOUND_EXPORT_PATTERNS, _INBOUND_GATES, "data_export_destination", "'medium'", _place(location, None))
 
 
 # --- structured personal identifiers -----------------------------------------
@@ -306,9 +314,9 @@ def pii_count(kind: str) -> Column:
     return F.expr(f"if({gate}, size({confirmed}), 0)")
 
 
-def pii(location: str = "params") -> Detector:
+def pii(location: str = "params", sql: str | None = None) -> Detector:
     def build(_scan):
-        found = "concat(" + ", ".join(_repeat(k, f"_m_{k}", location) for k in PII_TYPES) + ")"
+        found = "concat(" + ", ".join(_repeat(k, f"_m_{k}", _place(location, sql)) for k in PII_TYPES) + ")"
         return _block("pii_structured", "'medium'", found, " + ".join(f"_m_{k}" for k in PII_TYPES) + " > 0")
 
     return Detector(

@@ -22,53 +22,56 @@ def classify_frames(frames: DataFrame, line: str = "line", transport: str | None
     """
     cols = frames.columns
     raw = F.col(line)
-    v = F.col("_v")
-    staged = frames.withColumn("_v", J.parsed(raw))
-    staged = staged.withColumns(
-        {
-            "_object": v.isNotNull() & J.starts_object(raw),
-            "_version": J.string_at(v, "$.jsonrpc"),
-            "_keys": F.json_object_keys(raw),
-            "_id_kind": J.kind_of(v, "$.id"),
-            "_method": J.string_at(v, "$.method"),
-        }
+    f = lambda name: F.col(f"_f.{name}")
+    staged = frames.withColumn("_f", J.fields(raw, ("jsonrpc", "id", "method"), ("params", "result", "error")))
+    staged = staged.select(
+        *cols,
+        "_f",
+        J.is_object(raw, "_f").alias("_object"),
+        F.coalesce(J.text(f("jsonrpc")) == "2.0", F.lit(False)).alias("_version"),
+        J.kind(f("id")).alias("_id_kind"),
+        J.text(f("method")).alias("_method"),
     )
-    has = lambda k: F.coalesce(F.array_contains("_keys", k), F.lit(False))
+    # A null result is still an answer; only then are the member names needed.
+    keys = F.when(F.col("_object") & F.col("_method").isNull(), F.json_object_keys(raw))
+    has = lambda k: F.coalesce(f(k).isNotNull() | F.array_contains("_keys", k), F.lit(False))
+    staged = staged.withColumn("_keys", keys)
     http = F.col(transport) == "http" if transport else F.lit(False)
-    has_id, has_method = has("id"), F.col("_method").isNotNull()
+    has_id, has_method = F.col("_id_kind").isNotNull(), F.col("_method").isNotNull()
     answers = has("result") | has("error")
+    other = ~F.col("_object")
     reason = (
-        F.when(v.isNull(), "invalid_json")
-        .when(~F.col("_object"), "not_an_object")
-        .when(~F.coalesce(F.col("_version") == "2.0", F.lit(False)), "missing_jsonrpc_2_0")
+        F.when(other & (J.starts_object(raw) | F.try_parse_json(raw).isNull()), "invalid_json")
+        .when(other, "not_an_object")
+        .when(~F.col("_version"), "missing_jsonrpc_2_0")
         .when(has_id & ~F.col("_id_kind").isin("null", "string", "number"), "malformed_jsonrpc")
         .when(has_id & ~has_method & ~answers, "malformed_jsonrpc")
         .when(~has_id & ~has_method & ~(http & answers), "malformed_jsonrpc")
     )
+    staged = staged.withColumn("reason", reason)
+    failed = F.col("reason").isNotNull()
     kind = (
-        F.when(F.col("reason").isNotNull(), "parse_error")
+        F.when(failed, "parse_error")
         .when(has_method, F.when(has_id, "request").otherwise("notification"))
         .otherwise("response")
     )
-    ok = F.col("kind") != "parse_error"
-    with_id = ok & F.col("kind").isin("request", "response")
+    staged = staged.withColumn("kind", kind)
+    with_id, response = F.col("kind").isin("request", "response"), F.col("kind") == "response"
     return fence(
-        staged.withColumn("reason", reason)
-        .withColumn("kind", kind)
-        .select(
+        staged.select(
             *cols,
             "kind",
             "reason",
-            F.when(with_id & F.col("_id_kind").isin("string", "number"), F.try_variant_get(v, "$.id", "string")).alias("rpc_id"),
+            F.when(with_id, J.scalar(f("id"))).alias("rpc_id"),
             F.when(with_id, F.coalesce("_id_kind", F.lit("null"))).alias("rpc_id_type"),
-            F.when(ok, F.col("_method")).alias("method"),
-            F.when(F.col("kind").isin("request", "notification"), J.raw_at(raw, "$.params")).alias("params"),
-            F.when(F.col("kind") == "response", J.raw_at(raw, "$.result")).alias("result"),
-            F.when((F.col("kind") == "response") & has("result"), True).otherwise(False).alias("has_result"),
-            F.when((F.col("kind") == "response") & has("error"), F.coalesce(J.raw_at(raw, "$.error"), F.lit("null"))).alias("error"),
+            F.when(~failed, F.col("_method")).alias("method"),
+            F.when(~failed & has_method, f("params")).alias("params"),
+            F.when(response, f("result")).alias("result"),
+            (response & has("result")).alias("has_result"),
+            F.when(response & has("error"), F.coalesce(f("error"), F.lit("null"))).alias("error"),
             (F.octet_length(raw) + F.when(http, 0).otherwise(1)).cast("bigint").alias("bytes"),
-            F.when(~ok, F.left(raw, F.lit(V.SNIPPET_CHARS))).alias("frame_snippet"),
-            F.when(~ok, F.concat(F.lit("MCP frame parse error: "), F.col("reason"))).alias("message"),
+            F.when(failed, F.left(raw, F.lit(V.SNIPPET_CHARS))).alias("frame_snippet"),
+            F.when(failed, F.concat(F.lit("MCP frame parse error: "), F.col("reason"))).alias("message"),
         )
     )
 

@@ -25,34 +25,32 @@ def parse_hooks(spool: DataFrame, raw: str = "raw") -> DataFrame:
     Unknown keys go to ``extras``. Anything that is not an object with a string
     ``hook_event_name`` has ``parsed_kind = 'unknown'`` and keeps only ``raw``.
     """
-    v = F.col("_v")
-    staged = spool.withColumn("_v", J.parsed(F.col(raw)))
-    staged = staged.withColumn(
-        "hook_event", F.when(J.starts_object(F.col(raw)), J.string_at(v, "$.hook_event_name"))
-    )
-    known = F.array(*[F.lit(k) for k in V.HOOK_KEYS])
+    f = lambda name: F.col(f"_f.{name}")
+    typed = ("hook_event_name", *_STRINGS, "is_interrupt", "duration_ms", "tool_response")
+    staged = spool.withColumn("_f", J.fields(F.col(raw), typed, ("tool_input",)))
+    hook_event = F.when(J.is_object(F.col(raw), "_f"), J.text(f("hook_event_name")))
+    staged = staged.select("*", hook_event.alias("hook_event"), F.json_object_keys(raw).alias("_keys"))
     is_hook = F.col("hook_event").isNotNull()
+    known = F.array(*[F.lit(k) for k in V.HOOK_KEYS])
+    unknown = F.size(F.array_except("_keys", known)) > 0
     entries = F.from_json(F.col(raw), "map<string,string>")
+    extras = F.map_filter(entries, lambda k, _: ~F.array_contains(known, k))
+    response = J.raw_at(F.col(raw), "$.tool_response")
+    quoted = F.when(J.kind(f("tool_response")) == "string", json_quote(response)).otherwise(response)
     parsed = staged.select(
         *spool.columns,
         F.when(is_hook, "hook").otherwise("unknown").alias("parsed_kind"),
         "hook_event",
-        *[F.when(is_hook, J.string_at(v, f"$.{k}")).alias(k) for k in _STRINGS],
-        F.when(is_hook, J.raw_at(F.col(raw), "$.tool_input")).alias("tool_input"),
-        F.when(is_hook, _raw_response(F.col(raw), v)).alias("tool_response"),
-        F.when(is_hook, J.boolean_at(v, "$.is_interrupt")).alias("is_interrupt"),
-        F.when(is_hook, J.number_at(v, "$.duration_ms")).alias("duration_ms"),
-        F.when(is_hook, F.map_filter(entries, lambda k, _: ~F.array_contains(known, k))).alias("extras"),
+        *[F.when(is_hook, J.text(f(k))).alias(k) for k in _STRINGS],
+        F.when(is_hook, f("tool_input")).alias("tool_input"),
+        F.when(is_hook, quoted).alias("tool_response"),
+        F.when(is_hook, J.boolean(f("is_interrupt"))).alias("is_interrupt"),
+        F.when(is_hook, J.number(f("duration_ms"))).alias("duration_ms"),
+        F.when(is_hook & unknown, extras).alias("extras"),
     )
     return fence(parsed)
 
 
-def _raw_response(raw: Column, v: Column) -> Column:
-    """JSON text of ``tool_response``; a string value keeps its quotes."""
-    text = J.raw_at(raw, "$.tool_response")
-    return F.when(J.kind_of(v, "$.tool_response") == "string", json_quote(text)).otherwise(text)
-
-
 def response_scan_text(
     df: DataFrame, hook_event: str, tool_name: str, response: str, error: str, out: str = "scan"
 ) -> DataFrame:
@@ -198,21 +196,15 @@ def classify_hooks(rows: DataFrame) -> DataFrame:
     """Detections of synthesized rows: requests with a baseline, results without.
 
     Yields the request rows fanned out per detection and one enrichment row per
-    detection of a result. Request and response sides take different chains, so
-    they are two narrow branches of the same rows.
+    detection of a result. Both sides go through one chain whose labels depend
+    on the row, so payloads are parsed and scanned once.
     """
-    keep = ["id", "ts", "session", "mcp", "rpc_id", "tool", "source", "cc_session", "scan"]
-    requests = chain.detect(rows.where("type = 'mcp.request'").select(*keep), "scan", "tool", "request")
-    results = rows.where("type = 'mcp.response'").select(*keep)
-    answers = chain.detect(results, "scan", policy="hook_inbound")
+    keep = ["id", "ts", "session", "mcp", "rpc_id", "type", "direction", "tool", "source", "cc_session", "scan"]
+    texts = rows.where("type IN ('mcp.request', 'mcp.response')").select(*keep)
+    found = chain.emit(chain.classify(texts, "scan", "tool", chain.HOOK_CHAIN, F.col("type") == "mcp.request"))
+    enriched = F.when(F.col("type") == "mcp.request", F.col("type")).otherwise("mcp.detection_enrichment")
     return (
-        requests.withColumn("type", F.lit("mcp.request"))
-        .withColumn("direction", F.lit(V.CLIENT_TO_SERVER))
-        .unionByName(
-            answers.withColumn("type", F.lit("mcp.detection_enrichment")).withColumn(
-                "direction", F.lit(V.SERVER_TO_CLIENT)
-            )
-        )
+        found.withColumn("type", enriched)
         .withColumn("id", stamp_id(F.col("id"), F.col("type"), F.col("ordinal")))
         .drop("scan")
     )

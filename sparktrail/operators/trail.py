@@ -11,41 +11,51 @@ from sparktrail.functions.plans import fence
 from sparktrail.functions.text import java_regex
 
 _TEXT = ("id", "session", "mcp", "type", "direction", "method", "kind", "message", "source", "cwd", "reason")
+_TYPED = (
+    *_TEXT, "ts", "rpcId", "ccSession", "hookEventName", "isInterrupt", "bytes", "overheadUs", "latencyMs", "error",
+    "detection",
+)
 _FINDINGS = "array<struct<type:string,location:string>>"
 
 
 def parse_trail(lines: DataFrame, line: str = "raw") -> DataFrame:
     """Typed columns of trail lines. A malformed line becomes no row, never a failure."""
-    v = F.col("_v")
     others = [c for c in lines.columns if c != line]
-    staged = lines.withColumn("_v", J.parsed(F.col(line))).where(F.trim(line) != "")
-    rpc_kind = J.kind_of(v, "$.rpcId")
-    called = J.string_at(v, "$.method") == "tools/call"
+    f = lambda name: F.col(f"_f.{name}")
+    staged = lines.withColumn("_f", J.fields(F.col(line), _TYPED, ("params",)))
+    called = J.text(f("method")) == "tools/call"
+    params = F.when(called, f("params"))
+    failed = F.when(f("error").isNotNull(), F.coalesce(F.try_variant_get(f("error"), "$", "string"), F.lit("null")))
+    block = f("detection")
     rows = staged.select(
         *others,
         F.col(line).alias("raw"),
-        (v.isNotNull() & J.starts_object(F.col(line))).alias("_object"),
-        *[J.string_at(v, f"$.{k}").alias(k) for k in _TEXT],
-        J.string_at(v, "$.ts").alias("ts_raw"),
-        F.try_to_timestamp(J.string_at(v, "$.ts")).alias("ts"),
-        F.when(rpc_kind.isin("string", "number"), F.try_variant_get(v, "$.rpcId", "string")).alias("rpc_id"),
-        rpc_kind.alias("rpc_id_type"),
-        J.string_at(v, "$.ccSession").alias("cc_session"),
-        J.string_at(v, "$.hookEventName").alias("hook_event"),
-        F.when(called, J.string_at(v, "$.params.name")).alias("tool_name"),
-        F.when(called, J.raw_at(F.col(line), "$.params.arguments")).alias("args_json"),
-        J.string_at(v, f"$.params._meta['{V.TOOL_USE_META_KEY}']").alias("_meta_id"),
-        F.when(J.kind_of(v, "$.error").isNotNull(), J.raw_at(F.col(line), "$.error")).alias("error"),
-        J.boolean_at(v, "$.isInterrupt").alias("is_interrupt"),
-        J.number_at(v, "$.bytes").alias("bytes"),
-        J.number_at(v, "$.overheadUs").alias("overhead_us"),
-        J.number_at(v, "$.latencyMs").alias("latency_ms"),
-        J.string_at(v, "$.detection.category").alias("category"),
-        J.string_at(v, "$.detection.severity").alias("severity"),
-        (J.kind_of(v, "$.detection.findings") == "array").alias("_listed"),
-        F.from_json(J.raw_at(F.col(line), "$.detection.findings"), _FINDINGS).alias("findings"),
+        J.is_object(F.col(line), "_f").alias("_object"),
+        *[J.text(f(k)).alias(k) for k in _TEXT],
+        J.text(f("ts")).alias("ts_raw"),
+        F.try_to_timestamp(J.text(f("ts"))).alias("ts"),
+        J.scalar(f("rpcId")).alias("rpc_id"),
+        J.kind(f("rpcId")).alias("rpc_id_type"),
+        J.text(f("ccSession")).alias("cc_session"),
+        J.text(f("hookEventName")).alias("hook_event"),
+        J.fields(params, ("name", "_meta"), ("arguments",)).alias("_p"),
+        failed.alias("error"),
+        J.boolean(f("isInterrupt")).alias("is_interrupt"),
+        *[J.number(f(k)).alias(c) for k, c in (("bytes", "bytes"), ("overheadUs", "overhead_us"), ("latencyMs", "latency_ms"))],
+        J.string_at(block, "$.category").alias("category"),
+        J.string_at(block, "$.severity").alias("severity"),
+        F.try_variant_get(block, "$.findings", "array<variant>").isNotNull().alias("_listed"),
+        F.try_variant_get(block, "$.findings", _FINDINGS).alias("findings"),
     )
-    return fence(rows).where("_object").withColumn("tool_use_id", _tool_use_id()).drop("_object", "_meta_id")
+    kept = [c for c in rows.columns if c not in ("_p", "_object")]
+    named = rows.select(
+        "_object",
+        *kept,
+        J.text(F.col("_p.name")).alias("tool_name"),
+        F.col("_p.arguments").alias("args_json"),
+        J.string_at(F.col("_p._meta"), f"$['{V.TOOL_USE_META_KEY}']").alias("_meta_id"),
+    )
+    return fence(named).where("_object").withColumn("tool_use_id", _tool_use_id()).drop("_object", "_meta_id")
 
 
 def _tool_use_id() -> Column:

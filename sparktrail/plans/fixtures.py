@@ -158,7 +158,7 @@ def trail_columns(dialect: str) -> list[str]:
 
 
 def trail(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").selectExpr(*trail_columns("spark"))
+    return spread(table(spark, folder, "events")).selectExpr(*trail_columns("spark"))
 
 
 def frames(spark: SparkSession, folder: str) -> DataFrame:
@@ -310,7 +310,7 @@ MEMBER_COLUMNS = [
 
 
 def hooks(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").selectExpr(*HOOK_COLUMNS)
+    return spread(table(spark, folder, "events").select("event_id", "user_id", "ts")).selectExpr(*HOOK_COLUMNS)
 
 
 def manifests(spark: SparkSession, folder: str) -> DataFrame:

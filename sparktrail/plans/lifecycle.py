@@ -11,7 +11,7 @@ from sparktrail.operators.filters import DetectionFilter, matches
 from sparktrail.plans import fixtures as X
 from sparktrail.session import scratch_path
 from sparktrail.sources import files
-from sparktrail.sources.tables import table
+from sparktrail.sources.tables import spread, table
 from sparktrail.streaming import jobs
 
 FILTER = DetectionFilter(sources=(V.HOOK_SOURCE,), severities=("high", "critical"))
@@ -104,7 +104,7 @@ def retention_estimate(spark, sf):
 
 def export_jsonl(spark, sf):
     """Matching lines verbatim, written oldest first and read back."""
-    lines = table(spark, sf, "events").selectExpr(*X.raw_trail_columns("spark")).select("raw")
+    lines = spread(table(spark, sf, "events")).selectExpr(*X.raw_trail_columns("spark")).select("raw")
     rows = trail.detection_rows(trail.parse_trail(lines))
     keep = matches(DetectionFilter(categories=("pii_structured",), sources=(V.HOOK_SOURCE,)), X.NOW)
     path = scratch_path(spark, "jsonl")

@@ -10,7 +10,7 @@ from sparktrail.operators import alerts, assemble, entity, pages, trail
 from sparktrail.operators.filters import DetectionFilter, matches
 from sparktrail.plans import fixtures as X
 from sparktrail.session import materialize
-from sparktrail.sources.tables import table
+from sparktrail.sources.tables import spread, table
 
 ORDER = ["id"]
 FILTER = DetectionFilter(
@@ -37,7 +37,7 @@ def gold(spark, sf):
 
 
 def trail_scan(spark, sf):
-    lines = table(spark, sf, "events").selectExpr(*X.raw_trail_columns("spark"))
+    lines = spread(table(spark, sf, "events")).selectExpr(*X.raw_trail_columns("spark"))
     rows = trail.detection_rows(trail.parse_trail(lines.select("event_id", "raw")))
     return rows.select(
         "id", "type", "mcp", "rpc_id", "rpc_id_type", "category", "severity", "tool_name", "tool_use_id", "args_json",
@@ -175,7 +175,7 @@ def last_purge_marker(spark, sf):
 
 
 def args_summary(spark, sf):
-    rows = table(spark, sf, "events").selectExpr(*X.ARGS_COLUMNS)
+    rows = spread(table(spark, sf, "events")).selectExpr(*X.ARGS_COLUMNS)
     return trail.with_args_summary(rows, out="summary").select("event_id", "summary")
 
 
