@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktrail.functions import jsonx as J
+from sparktrail.functions.plans import fence
 from sparktrail.operators.detectors import has_injection
 from sparktrail.operators.snapshots import digest_text, set_digest
 
@@ -52,13 +54,16 @@ def schema_surfaces(tools: DataFrame, schema: str = "input_schema") -> DataFrame
 
 def extract_tools(results: DataFrame, result: str, *keys: str) -> DataFrame:
     """Tools of ``tools/list`` results: objects with a string name, in list order."""
-    shape = "array<struct<name:string,description:string,inputSchema:string>>"
-    listed = F.from_json(F.get_json_object(F.col(result), "$.tools"), shape)
-    rows = results.select(*keys, F.posexplode_outer(listed).alias("pos", "_t")).where(F.col("_t.name").isNotNull())
-    return rows.select(
-        *keys, "pos", F.col("_t.name").alias("tool"), F.col("_t.description").alias("description"),
-        F.col("_t.inputSchema").alias("input_schema"),
-    )
+    listed = F.try_variant_get(J.fields(F.col(result), ("tools",))["tools"], "$", "array<variant>")
+    rows = results.select(*keys, F.posexplode_outer(listed).alias("pos", "_t"))
+    tools = rows.select(
+        *keys,
+        "pos",
+        J.string_at(F.col("_t"), "$.name").alias("tool"),
+        J.string_at(F.col("_t"), "$.description").alias("description"),
+        F.to_json(J.at(F.col("_t"), "$.inputSchema")).alias("input_schema"),
+    )
+    return fence(tools).where("tool IS NOT NULL")
 
 
 def signatures(tools: DataFrame) -> DataFrame:

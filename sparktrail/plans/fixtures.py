@@ -47,7 +47,7 @@ PLANTED = (
     ("none", "12345678A"),
     ("none", "X1234567A"),
     ("none", "L898902C36UTO7408122F1204159ZE184226B<<<<<11"),
-    ("none", "185036912304533"),
+    ("credit_card", "185036912304533"),  # a wrong NIR key, but 15 digits that pass Luhn
     ("none", "RSSMRA85T10A562T"),
     ("none", "12345678903"),
     ("none", "400000008"),
