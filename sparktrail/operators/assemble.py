@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sparktrail import values as V
 from sparktrail.operators.trail import dedupe_first
+from sparktrail.session import materialize
 
 CALL = ["session", "rpc_key"]
 SIDE = ["session", "rpc_key", "direction"]
@@ -92,11 +93,58 @@ def pair_sources(rows: DataFrame) -> DataFrame:
     return rows.join(both, "tool_use_id", "left").withColumn("paired_source", F.when(F.col("_both"), other)).drop("_both")
 
 
+def call_lookup(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Everything assembly needs to know per call, in one combinable aggregate.
+
+    Per direction: the last enrichment and whether a request is there to take it.
+    """
+    at, request = F.struct(*order), F.col("type") == "mcp.request"
+    failed = F.col("error").isNotNull()
+    if "is_interrupt" in rows.columns:
+        failed = failed | F.coalesce("is_interrupt", F.lit(False))
+    shown = request & (F.col("tool_name").isNotNull() | F.col("cwd").isNotNull())
+    has_use = request & F.col("tool_use_id").isNotNull()
+    block = F.struct("id", "category", "severity")
+    per_side = []
+    for side in (V.CLIENT_TO_SERVER, V.SERVER_TO_CLIENT):
+        here = F.col("direction") == side
+        enriched = here & (F.col("type") == "mcp.detection_enrichment")
+        per_side.append(F.max_by(block, F.when(enriched, at)).alias(f"_last_{side}"))
+        per_side.append(F.bool_or(here & request).alias(f"_asked_{side}"))
+    return rows.groupBy(*CALL).agg(
+        F.max_by(F.when(failed, "error").otherwise("ok"), F.when(F.col("type") == "mcp.response", at)).alias("_outcome"),
+        F.max_by("tool_use_id", F.when(has_use, at)).alias("_use"),
+        F.max_by(F.struct("tool_name", "cwd"), F.when(shown, at)).alias("_shown"),
+        *per_side,
+    )
+
+
 def assemble(trail: DataFrame, order: list[str], dedupe: bool = True) -> DataFrame:
-    """Silver rows to gold: requests and orphan enrichments with all they inherit."""
-    rows = rpc_key(dedupe_first(trail, order) if dedupe else trail)
-    requests = rows.where("type = 'mcp.request'")
-    enrichments = rows.where("type = 'mcp.detection_enrichment'")
-    full = attach_enrichments(requests, enrichments, order).join(outcomes(rows, order), CALL, "left")
-    orphans = inherit(orphan_enrichments(requests, enrichments, order), requests, order)
-    return pair_sources(full.unionByName(orphans, allowMissingColumns=True)).drop("rpc_key")
+    """Silver rows to gold: requests and orphan enrichments with all they inherit.
+
+    The same result as the single steps above, from one lookup and one join. The
+    deduplicated rows are written once, since several branches read them.
+    """
+    rows = rpc_key(trail)
+    if dedupe:
+        rows = materialize(trail.sparkSession, dedupe_first(rows, order), "silver")
+    joined = rows.where(F.col("type").isin("mcp.request", "mcp.detection_enrichment")).join(
+        call_lookup(rows, order), CALL, "left"
+    )
+    request = F.col("type") == "mcp.request"
+    outbound = F.col("direction") == V.CLIENT_TO_SERVER
+    last = F.when(outbound, F.col(f"_last_{V.CLIENT_TO_SERVER}")).otherwise(F.col(f"_last_{V.SERVER_TO_CLIENT}"))
+    asked = F.when(outbound, F.col(f"_asked_{V.CLIENT_TO_SERVER}")).otherwise(F.col(f"_asked_{V.SERVER_TO_CLIENT}"))
+    kept = joined.withColumns({"_last": last, "_asked": asked}).where(
+        request | ~(F.col("_asked") & (F.col("id") == F.col("_last.id")))
+    )
+    lend = lambda own, lent: F.when(request, F.col(own)).otherwise(F.coalesce(own, lent))
+    full = kept.select(
+        *[c for c in rows.columns if c not in ("tool_use_id", "tool_name", "cwd", "rpc_key")],
+        lend("tool_use_id", "_use").alias("tool_use_id"),
+        lend("tool_name", "_shown.tool_name").alias("tool_name"),
+        lend("cwd", "_shown.cwd").alias("cwd"),
+        F.when(request, F.col("_last")).alias("enrichment"),
+        F.when(request, F.col("_outcome")).alias("outcome"),
+    )
+    return pair_sources(full)

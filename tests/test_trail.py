@@ -55,6 +55,19 @@ def test_numbers_and_strings_are_different_calls(spark):
     assert got == {"1": None, "2": "error", "4": "ok"}
 
 
+def test_assembly_in_one_join_equals_the_single_steps(spark, data):
+    rows = assemble.rpc_key(X.trail(spark, data))
+    requests = rows.where("type = 'mcp.request'")
+    enrichments = rows.where("type = 'mcp.detection_enrichment'")
+    full = assemble.attach_enrichments(requests, enrichments, ["id"]).join(assemble.outcomes(rows, ["id"]), assemble.CALL, "left")
+    orphans = assemble.inherit(assemble.orphan_enrichments(requests, enrichments, ["id"]), requests, ["id"])
+    want = assemble.pair_sources(full.unionByName(orphans, allowMissingColumns=True))
+    twice = X.trail(spark, data).unionByName(X.trail(spark, data))
+    cols = ["id", "tool_use_id", "tool_name", "cwd", "enrichment", "outcome", "paired_source"]
+    got = assemble.assemble(twice, ["id"]).select(*cols)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*cols).collect()))
+
+
 def test_page_walk_equals_sorted_list(spark, data):
     gold = materialize(spark, X.trail(spark, data).withColumns({"args_summary": F.lit(""), "outcome": F.lit(""), "paired_source": F.lit("")}), "t")
     f = DetectionFilter(severities=("high",))
