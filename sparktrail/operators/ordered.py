@@ -1,7 +1,7 @@
 """Order-dependent operators that survive hot keys.
 
 A plain window puts all rows of one key into one task. Here a key's timeline is
-cut into chunks (a monotone expression of the order, such as the hour): windows
+cut into chunks (a monotone expression of the order, such as the minute): windows
 run per (key, chunk), and only one summary row per chunk crosses chunk borders.
 A key that owns a third of all rows is then spread over its chunks.
 """
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK_SECONDS = 3600
+CHUNK_SECONDS = 60
 
 
 def time_chunk(ts: Column, seconds: int = CHUNK_SECONDS) -> Column:

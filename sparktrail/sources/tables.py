@@ -16,4 +16,5 @@ def spread(df: DataFrame) -> DataFrame:
     table of many files is left alone: at scale no shuffle is added.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    files = len(df._jdf.inputFiles())  # counted in the JVM; the names stay there
+    return df.repartition(cores) if files < cores else df
