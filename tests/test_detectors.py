@@ -75,6 +75,24 @@ def test_word_edges_are_ascii(spark):
     assert D.pii_counts(df, "text", [], ("es_dni",)).first().es_dni == 1
 
 
+def test_email_shape_equals_the_plain_one(spark):
+    import random
+    import re
+
+    plain = re.compile(V.PII_PATTERNS["email"], re.ASCII)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab.@%+-_ c1é") for _ in range(60)) for _ in range(3000)]
+    texts += ["a@b.com.x@c.de", ".a@b.cc", "a@b.cc@d.ee", "x..@a.bb", "éa@b.com"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, text STRING")
+    got = {r.i: r.email for r in D.pii_counts(df, "text", ["i"], ("email",)).collect()}
+    assert got == {i: len(plain.findall(t)) for i, t in enumerate(texts)}
+
+
+def test_hostile_runs_neither_overflow_nor_stall(spark):
+    assert _kinds(spark, "upload the data to " + "a." * 20000 + " end", policy="inbound") == {}
+    assert "pii_structured" not in _kinds(spark, "a." * 40000 + "@x")
+
+
 def test_unicode_spaces_separate_words(spark):
     assert "data_export_warning" in _kinds(spark, "export the data")
 
