@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparktrail.llm import decontaminate, jaccard, linededup, mixing, quality, rules, sharding
+from sparktrail.llm import chat, decontaminate, jaccard, linededup, mixing, quality, rules, sharding, spans, surrogates
 
 
 def op4_ngram_jaccard(spark, folder):
@@ -11,12 +11,15 @@ def op4_ngram_jaccard(spark, folder):
 
 
 QUERIES = {
+    "op1_substring_dedup": spans.op1_substring_dedup,
     "op2_sharding": sharding.op2_sharding,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_pii_surrogates": surrogates.op5_pii_surrogates,
     "op6_quality_classifier": quality.op6_quality_classifier,
     "op7_quality_rules": rules.op7_quality_rules,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_mixing": mixing.op10_mixing,
 }
 
@@ -24,5 +27,17 @@ ORACLES = {
     "op2_sharding": sharding.OP2_SQL,
     "op3_line_dedup": linededup.OP3_SQL,
     "op8_decontamination": decontaminate.OP8_SQL,
+    "op9_chat_formatting": chat.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }
+
+
+def register() -> tuple[dict, dict]:
+    """Queries and SQL of this package and of the pipeline."""
+    import corpus_pipeline
+
+    queries, oracles = dict(QUERIES), dict(ORACLES)
+    queries["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        oracles["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return queries, oracles

@@ -26,7 +26,7 @@ LOWER[65:91] += 32
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
             steps = np.full(n, base, U64)
@@ -90,7 +90,7 @@ def edges(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    power, inverse = _power_tables(max(len(data), 1))
+    power, inverse = power_tables(max(len(data), 1))
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * power[: len(data)], out=sums[1:], dtype=U64)
     if not len(start):
