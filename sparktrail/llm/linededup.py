@@ -67,6 +67,8 @@ def _dropped(rows: DataFrame, min_documents: int) -> DataFrame:
         .filter(F.col("n_documents") >= min_documents)
         .select("h1", "h2", "last")
     )
+    # Written, so that a hash with very many rows may be split in the join.
+    verdict = materialize(rows.sparkSession, verdict, "verdicts")
     return rows.join(verdict, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last")))
 
 
