@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sparktrail.llm import textnum
 from sparktrail.llm.common import only, row_hash
+from sparktrail.session import materialize
 
 #: A run has two sentences and this many words at least; it ends with the first sentence that reaches both.
 MIN_SENTENCES = 2
@@ -148,7 +149,8 @@ def repeated_runs(documents: DataFrame) -> DataFrame:
     texts = _tagged(documents)
     runs = texts.mapInArrow(_emit_runs, "h bigint, g int, doc_id bigint, tag int, place bigint")
     firsts = runs.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    firsts = firsts.filter("n > 1").select("h", "g", "first")
+    # Written, so that a run shared by very many documents may be split in the join.
+    firsts = materialize(documents.sparkSession, firsts.filter("n > 1").select("h", "g", "first"), "firsts")
     again = F.col("place") % 2 == 1
     later = runs.join(firsts, ["h", "g"]).filter(again | ~F.col("doc_id").eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places"))
