@@ -90,7 +90,7 @@ def edges(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    power, inverse = power_tables(max(len(data), 1))
+    power, inverse = power_tables(len(data) + 1)  # an empty span may begin at the end
     sums = np.zeros(len(data) + 1, U64)
     np.cumsum((data.astype(U64) + U64(1)) * power[: len(data)], out=sums[1:], dtype=U64)
     if not len(start):
