@@ -30,7 +30,8 @@ def outcomes(rows: DataFrame, order: list[str]) -> DataFrame:
     failed = F.col("error").isNotNull()
     if "is_interrupt" in rows.columns:
         failed = failed | F.coalesce("is_interrupt", F.lit(False))
-    responses = rows.where("type = 'mcp.response'")
+    # A response without an id answers no call; an id that is null answers the call with a null id.
+    responses = rows.where("type = 'mcp.response' AND rpc_id_type IS NOT NULL")
     return responses.groupBy(*CALL).agg(
         F.max_by(F.when(failed, "error").otherwise("ok"), F.struct(*order)).alias("outcome")
     )

@@ -104,7 +104,10 @@ def drift_findings(sigs: DataFrame) -> DataFrame:
     steps = sigs.select("mcp", "snap").distinct().withColumn("_next", F.lead("snap").over(timeline))
     steps = steps.withColumn("_first", F.lag("snap").over(timeline).isNull())
     surfaces = schema_surfaces(sigs)
+    none = F.array().cast("array<string>")
+    # A tool without a schema has an empty surface, so that gaining one is new surface.
     shaped = sigs.join(surfaces, "input_schema", "left").join(steps, ["mcp", "snap"])
+    shaped = shaped.withColumn("p", F.coalesce("p", none)).withColumn("r", F.coalesce("r", none))
     prev = shaped.where(F.col("_next").isNotNull()).select(
         "mcp", F.col("_next").alias("snap"), "tool", F.struct("d", "s", "p", "r").alias("prev")
     )

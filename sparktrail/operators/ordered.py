@@ -48,6 +48,12 @@ def last_before(
     return joined.select(*[F.col(f"l.{c}") for c in cols], F.coalesce("l._here", "r._carried").alias(out))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` where null meets null: rows without a chunk are a chunk too."""
+    named = right.select(*[F.col(k).alias(f"_r{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    return left.join(named, [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys]).drop(*[f"_r{k}" for k in keys])
+
+
 def rank_in_order(df: DataFrame, chunks: Sequence[Column], order: Sequence[str], out: str) -> DataFrame:
     """Add ``out``: the 0-based position of each row in the total order.
 
@@ -65,7 +71,7 @@ def rank_in_order(df: DataFrame, chunks: Sequence[Column], order: Sequence[str],
         level = sizes.groupBy(*upto).agg(F.sum("_n").alias("_n"))
         before = Window.partitionBy(*outer).orderBy(names[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
         starts = level.select(*upto, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-        ranked = ranked.join(starts, upto).withColumn("_pos", F.col("_pos") + F.col("_start")).drop("_start")
+        ranked = _join_null_safe(ranked, starts, upto).withColumn("_pos", F.col("_pos") + F.col("_start")).drop("_start")
     return ranked.select(*cols, F.col("_pos").cast("bigint").alias(out))
 
 
@@ -81,5 +87,5 @@ def runs(df: DataFrame, key: str, order: Sequence[str], chunk: Column, out: str)
     # One row per chunk of time: small by construction, so one task may order it.
     before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_chunk.select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = changed.withColumn("_in", F.sum("_new").over(local)).join(starts, "_chunk")
+    numbered = _join_null_safe(changed.withColumn("_in", F.sum("_new").over(local)), starts, ["_chunk"])
     return numbered.select(*cols, (F.col("_in") + F.col("_start")).alias(out))

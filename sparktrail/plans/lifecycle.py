@@ -31,11 +31,6 @@ def trail_write_roundtrip(spark, sf):
     return back.select("id", "ts_raw", "session", "mcp", "type", "direction", "rpc_id", "method", "error", "source", "cwd", "cc_session")
 
 
-def trail_size(spark, sf):
-    """Size of the given folder from its listing."""
-    return files.folder_size(spark, sf, "*.parquet")
-
-
 def ulid_decode(spark, sf):
     sessions = X.session_files(spark, sf)
     start = ulid.decode_millis(F.col("ulid"))
@@ -124,7 +119,6 @@ def export_csv(spark, sf):
 
 QUERIES = {
     "trail_write_roundtrip": trail_write_roundtrip,
-    "trail_size": trail_size,
     "ulid_decode": ulid_decode,
     "compact_candidates": compact_candidates,
     "compact_days": compact_days,

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def local_session(cpus: int | str = 8, name: str = "sparktrail", memory: str = "12g") -> SparkSession:
     """A session for tests and single-machine runs. Clusters bring their own."""
     return (
@@ -29,14 +32,19 @@ def local_session(cpus: int | str = 8, name: str = "sparktrail", memory: str = "
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (tests, one machine) a temporary folder is
-    made and remembered in the session, so later calls agree on it.
+    Where the setting is absent, a local session uses one temporary folder per
+    application; on a cluster that would be another disk for every executor, so
+    there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="sparktrail-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="sparktrail-")
+    return _LOCAL_ROOTS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -109,7 +109,7 @@ CREDENTIAL_PATTERNS = (
     ("google_api_key", r"AIza[A-Za-z0-9_-]{35}"),
     ("slack_token", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
     ("stripe_key", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    ("generic_token", r"(?:token|secret|api_key)\s{0,3}[=:]\s{0,3}\"[0-9a-f]{40}\""),
+    ("generic_token", r"(?:token|secret|api_key)\s*[=:]\s*\"[0-9a-f]{40}\""),
 )
 
 # --- fixed values: argument summary keys and display labels ------------------
