@@ -115,8 +115,11 @@ def credential_type(hit: str) -> str:
 
 
 def credential_secrets(hits: str) -> Column:
-    """The values to mask: for ``name = "value"`` shapes only the value."""
-    value = "substring_index(rtrim('\"', h), '\"', -1)"
+    """The values to mask: for ``name = "value"`` shapes only the value.
+
+    In JSON text the quotes are escaped, so a backslash may stand before either.
+    """
+    value = "substring_index(rtrim('\"\\\\', h), '\"', -1)"
     return F.expr(f"transform({hits}, h -> if(endswith(h, '\"'), {value}, h))")
 
 
@@ -246,9 +249,18 @@ def data_export(location: str = "params", severity: str = "'medium'", sql: str |
     return _export(V.EXPORT_PATTERNS, _EXPORT_GATES, "data_export_command", severity, _place(location, sql))
 
 
+# Same matches as the host shape, with possessive repeats only: a plain repeat of a group
+# takes a stack frame of the JVM for each label, and hosts have any number of them. After
+# the first label those that cannot end a host are passed over; then come the letters of
+# one that can, and the same again as long as another such label follows.
+_HOST_END = r"(?:(?![a-z]{2})[a-z0-9-]++\.)*+[a-z]{2,}+"
+_HOST_JAVA = rf"[a-z0-9-]++\.{_HOST_END}(?:[a-z0-9-]*+\.{_HOST_END})*+"
+_INBOUND_JAVA = tuple(p.replace(V.HOST, _HOST_JAVA) for p in V.INBOUND_EXPORT_PATTERNS)
+
+
 def data_export_inbound(location: str = "params") -> Detector:
     """Strict form for results: an explicit destination must be named."""
-    return _export(V.INBOUND_EXPORT_PATTERNS, _INBOUND_GATES, "data_export_destination", "'medium'", _place(location, None))
+    return _export(_INBOUND_JAVA, _INBOUND_GATES, "data_export_destination", "'medium'", _place(location, None))
 
 
 # --- structured personal identifiers -----------------------------------------

@@ -58,7 +58,13 @@ def local_midnight(day: str, timezone: str, days_later: int = 0) -> Column | Non
     year, month, dom = (int(p) for p in parts.groups())
     first = dt.date(year + (month - 1) // 12, (month - 1) % 12 + 1, 1)
     date = first + dt.timedelta(days=dom - 1 + days_later)
-    return F.to_utc_timestamp(F.to_timestamp(F.lit(f"{date.isoformat()} 00:00:00")), timezone)
+    return F.lit(f"{date.isoformat()} 00:00:00 {timezone}").cast("timestamp")
+
+
+def instant(text: str) -> Column:
+    """A literal point in time. Text without a zone is UTC, whatever the session's zone is."""
+    zoned = re.search(r"(?:Z|[+-]\d{2}:?\d{2}|[A-Za-z]+)$", text.strip())
+    return F.lit(text if zoned else f"{text} UTC").cast("timestamp")
 
 
 def within_time(f: DetectionFilter, now: str | Column) -> Column:
@@ -74,7 +80,7 @@ def within_time(f: DetectionFilter, now: str | Column) -> Column:
         if start is not None:
             inside = inside & (ts >= start)
         return inside & (ts < end) if end is not None else inside
-    now = F.to_timestamp(F.lit(now)) if isinstance(now, str) else now
+    now = instant(now) if isinstance(now, str) else now
     return ts >= now - F.make_dt_interval(secs=F.lit(WINDOWS[f.time_range]))
 
 

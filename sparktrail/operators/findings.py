@@ -33,6 +33,12 @@ def mask_columns(df: DataFrame, secrets: str, key: bytes, *columns: str) -> Data
     return df.withColumns({c: mask_text(F.col(c), F.col(secrets), key) for c in columns})
 
 
+def mask_persisted(rows: DataFrame, key: bytes, *columns: str) -> DataFrame:
+    """Find the secrets in all of ``columns`` of a row and mask them in each of them."""
+    whole = rows.withColumn("_whole", F.concat_ws("\n", *columns))
+    return mask_columns(with_secrets(whole, "_whole", "_secrets"), "_secrets", key, *columns).select(*rows.columns)
+
+
 def fingerprint_reuse(rows: DataFrame, text: str, unit: str, source: str) -> DataFrame:
     """Masked secrets and where they recur.
 

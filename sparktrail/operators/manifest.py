@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import json.scanner
+import sys
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -32,11 +34,29 @@ def _surface_udf():
                 stack.extend(item.values())
             elif isinstance(item, list):
                 stack.extend(item)
-        return sorted(names), sorted(required)
+        # A lone surrogate has no UTF-8 form; it stays escaped.
+        plain = lambda found: sorted(x.encode("utf-8", "backslashreplace").decode() for x in found)
+        return plain(names), plain(required)
+
+    def parse_deep(text):
+        """The decoder's Python form needs frames on the heap only, as many as the text nests."""
+        decoder = json.JSONDecoder()
+        decoder.scan_once = json.scanner.py_make_scanner(decoder)
+        before = sys.getrecursionlimit()
+        sys.setrecursionlimit(before + 4 * (text.count("[") + text.count("{")))
+        try:
+            return decoder.decode(text)
+        finally:
+            sys.setrecursionlimit(before)
 
     def parse(text):
+        if not text:
+            return None
         try:
-            return json.loads(text) if text else None
+            try:
+                return json.loads(text)
+            except RecursionError:
+                return parse_deep(text)
         except ValueError:
             return None
 

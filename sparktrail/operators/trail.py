@@ -65,8 +65,8 @@ def _tool_use_id() -> Column:
     return F.when(from_hook, F.col("rpc_id")).when(from_wire, F.col("_meta_id"))
 
 
-def detection_rows(rows: DataFrame, selftest_mcp: str = "selftest") -> DataFrame:
-    """Requests and enrichments that pass the structural guards; self-test traffic is left out."""
+def detection_rows(rows: DataFrame, selftest_mcp: str) -> DataFrame:
+    """Requests and enrichments that pass the structural guards; traffic of the self-test connector is left out."""
     shaped = (
         F.col("type").isin("mcp.request", "mcp.detection_enrichment")
         & F.col("rpc_id_type").isin("string", "number", "null")

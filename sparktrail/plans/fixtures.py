@@ -13,6 +13,7 @@ from sparktrail import values as V
 from sparktrail.sources.tables import spread, table
 
 NOW = "2024-01-31 00:00:00"
+SELFTEST_MCP = "selftest"
 HMAC_KEY = b"0123456789abcdef0123456789abcdef"
 
 _AWS = "AKIA" + "Q" * 16

@@ -100,7 +100,7 @@ def retention_estimate(spark, sf):
 def export_jsonl(spark, sf):
     """Matching lines verbatim, written oldest first and read back."""
     lines = spread(table(spark, sf, "events")).selectExpr(*X.raw_trail_columns("spark")).select("raw")
-    rows = trail.detection_rows(trail.parse_trail(lines))
+    rows = trail.detection_rows(trail.parse_trail(lines), X.SELFTEST_MCP)
     keep = matches(DetectionFilter(categories=("pii_structured",), sources=(V.HOOK_SOURCE,)), X.NOW)
     path = scratch_path(spark, "jsonl")
     files.write_jsonl_export(rows.withColumn("args_summary", F.lit(None).cast("string")).where(keep), path)

@@ -38,7 +38,7 @@ def gold(spark, sf):
 
 def trail_scan(spark, sf):
     lines = spread(table(spark, sf, "events")).selectExpr(*X.raw_trail_columns("spark"))
-    rows = trail.detection_rows(trail.parse_trail(lines.select("event_id", "raw")))
+    rows = trail.detection_rows(trail.parse_trail(lines.select("event_id", "raw")), X.SELFTEST_MCP)
     return rows.select(
         "id", "type", "mcp", "rpc_id", "rpc_id_type", "category", "severity", "tool_name", "tool_use_id", "args_json",
         F.size("findings").cast("bigint").alias("n_findings"),

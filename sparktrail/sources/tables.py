@@ -10,11 +10,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that arrives in fewer files than there are cores.
+    """Use all cores on a table that fits one scan partition.
 
-    A Parquet file with one row group is one task however many cores wait. A
-    table of many files is left alone: at scale no shuffle is added.
+    Such a table is one task however many cores wait. It is the only kind that is
+    shuffled, so never more than ``spark.sql.files.maxPartitionBytes`` is moved; larger
+    tables are split by their scan and left alone. Rows are the same either way.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df._jdf.inputFiles())  # counted in the JVM; the names stay there
-    return df.repartition(cores) if files < cores else df
+    session = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    one_task = session._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(session.sparkContext.defaultParallelism) if size <= one_task else df

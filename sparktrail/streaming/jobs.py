@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparktrail.operators import assemble, hooks, manifest, pairing
 from sparktrail.operators.filters import flagged
+from sparktrail.operators.findings import mask_persisted
 from sparktrail.plans import fixtures as X
 from sparktrail.session import scratch_path
 from sparktrail.sources.tables import table
@@ -54,16 +55,17 @@ def run_trail_ingest(spark, folder):
     return spark.read.parquet(f"{root}/out").select("id", "session", "type")
 
 
-def ingest_hooks(stream: DataFrame, root: str, trigger=None):
-    """Spool payloads to trail rows. Ids are derived, so a replay writes the same rows."""
+def ingest_hooks(stream: DataFrame, root: str, key: bytes, trigger=None):
+    """Spool payloads to trail rows without secrets. Ids are derived, so a replay writes the same rows."""
     rows = hooks.synthesize(hooks.parse_hooks(stream))
+    rows = mask_persisted(rows, key, "params", "scan", "result", "error", "raw")
     writer = rows.writeStream.format("parquet").option("path", f"{root}/out")
     return writer.option("checkpointLocation", f"{root}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
 
 def run_hooks(spark, folder):
     root = _prepare(spark, "hooks")
-    state.drain(ingest_hooks(stream_table(spark, folder, "events").selectExpr(*X.HOOK_COLUMNS), root))
+    state.drain(ingest_hooks(stream_table(spark, folder, "events").selectExpr(*X.HOOK_COLUMNS), root, X.HMAC_KEY))
     rows = spark.read.parquet(f"{root}/out")
     return rows.groupBy("type", "mcp").agg(
         F.count("*").alias("n"),

@@ -60,9 +60,8 @@ EXPORT_PATTERNS = (
     r"\b(?:download|export|dump|extract|save|copy)\s+(?:(?:the|all|my|all\s+my)\s+)?(?:\S+\s+){0,3}(?:database|data|files?|records?|users?|contents?|backup|table)(?:\s+(?:to|into|as|onto|in)\b)?",
     r"\b(?:descarga|exporta|vuelca|extrae|guarda|copia)\s+(?:(?:la|los|las|mis|todos?\s+los?|todas?\s+las?)\s+)?(?:\S+\s+){0,3}(?:base\s+de\s+datos|datos|archivos?|registros?|usuarios?|contenidos?|backup|tabla)(?:\s+(?:a|en|como|hacia)\b)?",
 )
-# A host name has at most 127 labels; an unbounded repeat would overflow the
-# stack of the JVM's regex engine on a hostile run of thousands of them.
-EXPORT_DESTINATION = r"(?:https?://\S+|ftp://\S+|(?:[a-z0-9-]+\.){1,127}[a-z]{2,}(?:/\S*)?|/\S+|~/\S+)"
+HOST = r"(?:[a-z0-9-]+\.)+[a-z]{2,}"
+EXPORT_DESTINATION = r"(?:https?://\S+|ftp://\S+|" + HOST + r"(?:/\S*)?|/\S+|~/\S+)"
 INBOUND_EXPORT_PATTERNS = (
     r"\b(?:download|export|dump|extract|save|copy|upload|send|post|transfer|forward)\s+(?:(?:the|all|my|all\s+my)\s+)?(?:\S+\s+){0,3}(?:database|data|files?|records?|users?|contents?|backup|table)\s+(?:to|into|onto)\s+"
     + EXPORT_DESTINATION,
@@ -109,7 +108,7 @@ CREDENTIAL_PATTERNS = (
     ("google_api_key", r"AIza[A-Za-z0-9_-]{35}"),
     ("slack_token", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
     ("stripe_key", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    ("generic_token", r"(?:token|secret|api_key)\s*[=:]\s*\"[0-9a-f]{40}\""),
+    ("generic_token", r"(?:token|secret|api_key)\s*[=:]\s*\\?\"[0-9a-f]{40}\\?\""),
 )
 
 # --- fixed values: argument summary keys and display labels ------------------

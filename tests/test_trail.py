@@ -31,7 +31,7 @@ def test_tolerant_trail_reading(spark, tmp_path):
     (tmp_path / "ignored.txt").write_text(json.dumps(event))
     rows = trail.parse_trail(files.read_trail_lines(spark, str(tmp_path)))
     assert sorted(r.id for r in rows.select("id").collect()) == ["a", "b", "c", "d", "f"]
-    kept = trail.detection_rows(rows).collect()
+    kept = trail.detection_rows(rows, "selftest").collect()
     assert [(r.id, r.rpc_id, r.rpc_id_type, r.tool_name) for r in kept] == [("a", "1", "number", "t")]
     assert json.loads(kept[0].args_json) == {"z": 1, "a": 2}
 
