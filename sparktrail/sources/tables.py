@@ -17,6 +17,6 @@ def spread(df: DataFrame) -> DataFrame:
     tables are split by their scan and left alone. Rows are the same either way.
     """
     session = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     one_task = session._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return df.repartition(session.sparkContext.defaultParallelism) if size <= one_task else df
