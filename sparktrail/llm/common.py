@@ -18,6 +18,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(slow)
 
 
+def pieces(text: Column, gap: str) -> Column:
+    """What lies between matches of the pattern ``gap``, without empty pieces; null text has none.
+
+    Several times as fast as extracting the pieces by the opposite pattern.
+    """
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), gap, -1), "")
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just the named columns, so that extra ones (and clashing names) never reach an operator."""
     return df.select(*columns)

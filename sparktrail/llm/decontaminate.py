@@ -13,18 +13,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktrail.llm.common import ascii_lower, bounded, only, row_hash
+from sparktrail.llm.common import ascii_lower, bounded, only, pieces, row_hash
 from sparktrail.session import materialize
 
 NGRAM = 13
 #: Most benchmark windows that are broadcast (about 300 bytes each).
 BROADCAST_WINDOWS = 1_000_000
-#: Digits, letters and everything beyond ASCII.
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Between words: ASCII without digits and lower-case letters.
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(_WORD), F.lit(0))
+    return pieces(ascii_lower(text), _GAP)
 
 
 def _windows_hash(hashes: Column, size: int) -> Column:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktrail.llm.common import WORD, bounded, row_hash
+from sparktrail.llm.common import SPACES, bounded, pieces, row_hash
 from sparktrail.session import materialize
 
 SEED = "mix-1"
@@ -33,7 +33,7 @@ LEVELS = ("domain", "lang", "source")
 
 def n_tokens(text: Column) -> Column:
     """Words between ASCII blanks; null text has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.size(pieces(text, SPACES + "+")).cast("long")
 
 
 def _name_hash(name: Column) -> Column:
