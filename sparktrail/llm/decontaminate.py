@@ -48,19 +48,32 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return windows.groupBy("size", "window").agg(F.collect_set("item_id").alias("items"))
 
 
+def _same_words(word_at) -> Column:
+    """Whether the window's words are those that ``word_at`` gives for their numbers.
+
+    Word by word: a plain equality would become a join key, built for every window of
+    every text, and a slice would copy all words of the text for every candidate.
+    """
+    return F.forall(F.transform("window", lambda word, i: word == word_at(i)), lambda same: same)
+
+
 def _hits(texts: DataFrame, windows: DataFrame, size: int, small: bool) -> DataFrame:
     """Verified occurrences of windows of one size."""
     here = windows.filter(F.col("size") == size).select("window", "items")
     hashed = here.withColumn("wanted", _windows_hash(F.transform("window", lambda w: F.xxhash64(w)), size)[0])
+    # An outer explode: for a plain one the optimizer infers a filter on the array and computes it twice.
     scanned = texts.select(
-        "doc_id", "text_hash", "words", F.posexplode(_windows_hash(F.col("hashes"), size)).alias("at", "found")
-    )
-    side = F.broadcast(hashed) if small else hashed
-    return (
-        scanned.join(side, F.col("found") == F.col("wanted"))
-        .filter(F.slice("words", F.col("at") + 1, F.lit(size)) == F.col("window"))
-        .select("doc_id", "text_hash", F.col("at"), F.lit(size).alias("size"), "items")
+        "doc_id", "text_hash", "n_words", "words", F.posexplode_outer(_windows_hash(F.col("hashes"), size)).alias("at", "found")
     )
+    in_text = lambda i: F.get("words", F.col("at") + i)
+    if small:
+        joined = scanned.join(F.broadcast(hashed), F.col("found") == F.col("wanted")).filter(_same_words(in_text))
+    else:
+        # Only the window goes into the shuffle, never all words of its text.
+        there = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), in_text)
+        narrow = scanned.filter("found IS NOT NULL").withColumn("there", there).drop("words")
+        joined = narrow.join(hashed, F.col("found") == F.col("wanted")).filter(_same_words(lambda i: F.get("there", i)))
+    return joined.select("doc_id", "text_hash", "n_words", "at", F.lit(size).alias("size"), "items")
 
 
 def _covered(spans: Column) -> Column:
@@ -75,35 +88,53 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step, lambda acc: acc["words"])
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Per document: ``doc_id, text_hash, n_words, n_hit, spans, items, contaminated``.
+def _texts(documents: DataFrame) -> DataFrame:
+    texts = only(documents, "doc_id", "text").select(
+        "doc_id", row_hash(F.col("text")).alias("text_hash"), words_of(F.col("text")).alias("words")
+    )
+    return texts.withColumn("n_words", F.size("words").cast("long"))
 
-    ``spans`` are the hit windows ``(at, size)`` in words. Null text has no words.
-    Rows with one id and text give one row each; null ids and null item ids are
-    allowed (a null item id is not listed, its hits count). Items without words match nothing,
-    equal items are all listed. Empty tables give empty results.
+
+def hit_texts(documents: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """The texts with hits: ``doc_id, text_hash, n_words, n_hit, spans, items``, one row per id and text.
+
+    One scan of the documents per window size; only verified hits are shuffled.
     """
     spark = documents.sparkSession
     windows = materialize(spark, benchmark_windows(benchmark), "windows")
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # 13 values at most
     small = bounded(windows, broadcast_windows)
-    texts = only(documents, "doc_id", "text").select(
-        "doc_id", row_hash(F.col("text")).alias("text_hash"), words_of(F.col("text")).alias("words")
-    )
-    counted = texts.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"))
-    texts = texts.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    texts = _texts(documents).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     found = None
     for size in sizes:
         hits = _hits(texts, windows, size, small)
         found = hits if found is None else found.union(hits)
     if found is None:
-        found = spark.createDataFrame([], "doc_id bigint, text_hash bigint, at int, size int, items array<bigint>")
+        columns = "doc_id bigint, text_hash bigint, n_words bigint, at int, size int, items array<bigint>"
+        found = spark.createDataFrame([], columns)
     found = materialize(spark, found, "hits")
-    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+    found = found.groupBy("doc_id", "text_hash", "n_words").agg(
         F.collect_set(F.struct("at", "size")).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
-    found = found.withColumn("n_hit", _covered(F.col("spans")))
+    return found.withColumn("n_hit", _covered(F.col("spans")))
+
+
+def _is_contaminated(n_hit: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= F.col("n_words"))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """Per document: ``doc_id, text_hash, n_words, n_hit, spans, items, contaminated``.
+
+    ``spans`` are the hit windows ``(at, size)`` in words. Null text has no words.
+    Rows with one id and text give one row each; null ids and null item ids are
+    allowed (a null item id is not listed, its hits count). Items without words match nothing,
+    equal items are all listed. Empty tables give empty results.
+    """
+    found = hit_texts(documents, benchmark, broadcast_windows).drop("n_words")
+    found = found.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    counted = _texts(documents).drop("words")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return counted.join(found, same, "left").select(
@@ -113,13 +144,13 @@ def contamination(documents: DataFrame, benchmark: DataFrame, broadcast_windows:
         n_hit.alias("n_hit"),
         "spans",
         "items",
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        _is_contaminated(n_hit).alias("contaminated"),
     )
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``documents`` without the contaminated ones, columns unchanged."""
-    bad = contamination(documents, benchmark).filter("contaminated").select("doc_id", "text_hash").distinct()
+    bad = hit_texts(documents, benchmark).filter(_is_contaminated(F.col("n_hit"))).select("doc_id", "text_hash")
     named = documents.withColumn("_text_hash", row_hash(F.col("text")))
     same = named["doc_id"].eqNullSafe(bad["doc_id"]) & (named["_text_hash"] == bad["text_hash"])
     return named.join(bad.hint("shuffle_hash"), same, "left_anti").drop("_text_hash")
