@@ -17,7 +17,7 @@ from sparktrail.llm import textnum
 from sparktrail.llm.common import only, row_hash
 from sparktrail.session import materialize
 
-#: A run has two sentences and this many words at least; it ends with the first sentence that reaches both.
+#: A run has two sentences and this many words at least.
 MIN_SENTENCES = 2
 MIN_WORDS = 20
 #: Words this far into a sentence end it if their hash is a multiple of LONG_CUT.
@@ -49,19 +49,26 @@ def _sentences(data: np.ndarray, offsets: np.ndarray):
 
 
 def _runs(words, first: np.ndarray):
-    """For every sentence that begins a run: its number, the sentence after the run, and two hashes."""
+    """For every run: its first sentence, the sentence after it, and two hashes.
+
+    Of every sentence the shortest run that begins with it and the shortest one that ends
+    with it. In any longer run each sentence lies in a whole one of these: where the run
+    that begins with it would reach past the end, the one that ends there holds it.
+    """
     n, s = len(words.start), len(first)
     if not s:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
     bounds = np.concatenate([first, [n]])
-    begin = np.arange(s)
-    end = np.searchsorted(bounds, first + MIN_WORDS, side="left")
-    end = np.maximum(end, begin + MIN_SENTENCES)
-    ok = end <= s
+    number = np.arange(s)
+    end = np.maximum(np.searchsorted(bounds, first + MIN_WORDS, side="left"), number + MIN_SENTENCES)
+    begin = np.minimum(np.searchsorted(bounds, bounds[1:] - MIN_WORDS, side="right") - 1, number + 1 - MIN_SENTENCES)
+    begin, end = np.concatenate([number, begin]), np.concatenate([end, number + 1])
+    ok = (begin >= 0) & (end <= s)
     begin, end = begin[ok], end[ok]
     same = words.row[first[begin]] == words.row[bounds[end] - 1]
-    begin, end = begin[same], end[same]
+    once = np.unique(begin[same] * (s + 1) + end[same])  # a run may be the shortest both ways
+    begin, end = once // (s + 1), once % (s + 1)
     power, inverse = textnum.power_tables(n)
     hashes = []
     for salt in (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x632BE59BD9B4E019)):

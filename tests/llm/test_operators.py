@@ -1,6 +1,7 @@
 """Edge cases, brute force and SQL for the corpus operators."""
 
 import collections
+import random
 import re
 
 import pytest
@@ -126,6 +127,39 @@ def test_repeated_passages_go(spark):
     assert all(f"o{k}n3w2" in got[k].text for k in (1, 2, 3, 4))
 
 
+def brute_repeats(rows):
+    """Numbers of the removed sentences of each text, from all runs of sentences that end with a full stop."""
+    seen, gone = set(), {}
+    for doc_id, text in sorted(rows):
+        cut = [s.split() for s in text.split(".") if s.strip()]
+        gone[doc_id] = set()
+        for a in range(len(cut)):
+            for b in range(a + 2, len(cut) + 1):
+                run = tuple(map(tuple, cut[a:b]))
+                if sum(map(len, run)) >= 20:
+                    gone[doc_id] |= set(range(a, b)) if run in seen else set()
+                    seen.add(run)
+    return gone
+
+
+def test_repeats_against_all_runs(spark):
+    rng = random.Random(3)
+    count = iter(range(10**6))
+    story = lambda sizes: [" ".join(f"q{next(count)}" for _ in range(n)) for n in sizes]
+    passages = [story(rng.choice([1, 2, 3, 5, 8, 12, 15]) for _ in range(rng.randint(2, 9))) for _ in range(30)]
+    passages.append(story([15, 8, 5]))
+    rows = [(k, ". ".join(passages[-1]) + ".") for k in (1, 2)]
+    for k in range(3, 60):
+        parts = [p for q in rng.choices(passages, k=3) for p in (q[rng.randint(0, 2) :], story([rng.randint(1, 14)]))]
+        rows.append((k, ". ".join(s for p in parts for s in p) + "."))
+    want = brute_repeats(rows)
+    got = spans.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    for doc_id, text in rows:
+        cut = [s for s in text.split(".") if s.strip()]
+        left = next(r.text for r in got if r.doc_id == doc_id)
+        assert [s.strip() for s in left.split(".") if s.strip()] == [s.strip() for i, s in enumerate(cut) if i not in want[doc_id]]
+
+
 def test_line_dedup_keeps_the_largest_id(spark):
     line = "x" * 45
     rows = [(i, f" {line.upper()}\nown{i}\n{line}") for i in range(5)] + [(9, "x" * 39), (10, None)]
