@@ -160,6 +160,26 @@ def test_repeats_against_all_runs(spark):
         assert [s.strip() for s in left.split(".") if s.strip()] == [s.strip() for i, s in enumerate(cut) if i not in want[doc_id]]
 
 
+def test_repeats_without_sentence_ends(spark):
+    rng = random.Random(5)
+    count = iter(range(10**6))
+    stream = lambda n: " ".join(f"u{next(count)}" for _ in range(n))
+    passages = [stream(51) for _ in range(200)]  # the middle word of each must go from the second copy
+    rows = [(k, " ".join(f"{stream(rng.randint(0, 40))} {p} {stream(rng.randint(0, 40))}" for p in passages)) for k in (1, 2)]
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    chinese, ended, thai = han(300), "。".join(han(9) for _ in range(8)) + "。", "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(200))
+    rows += [(3, chinese), (4, f"{han(50)}{chinese}{han(50)}"), (5, ended), (6, f"{han(5)}。{ended}{han(5)}"), (7, thai), (8, thai)]
+    rows += [(9, "Kurz und gut"), (10, "kurz und  gut"), (11, "kurz und gut genug"), (12, "短"), (13, "短")]
+    hindi = " ".join(" ".join(f"क{k}ख{i}" for i in range(7)) + "।" for k in range(6))
+    rows += [(14, hindi), (15, f"एक।{' '}{hindi}")]
+    got = {r.doc_id: r.text for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[k] == dict(rows)[k] for k in (1, 3, 5, 7, 9, 11, 12, 14))
+    left = set(got[2].split())
+    assert not [p for p in passages if p.split()[25] in left]
+    assert chinese[20:-20] not in got[4] and len(got[4]) < 100 + 2 * 16 and got[4].startswith(rows[3][1][:30])
+    assert len(got[6]) == 11 and got[8] == got[10] == got[13] == "" and got[15].strip() == "एक।"
+
+
 def test_line_dedup_keeps_the_largest_id(spark):
     line = "x" * 45
     rows = [(i, f" {line.upper()}\nown{i}\n{line}") for i in range(5)] + [(9, "x" * 39), (10, None)]
