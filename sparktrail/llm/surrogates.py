@@ -4,7 +4,9 @@ Detected entities are replaced by keyed surrogates of the same type and format:
 become digits, letters letters of the same case and script, card numbers keep a valid
 check digit, addresses stay addresses, and a titled name becomes a name of the title's
 gender in the script of the original. A surrogate depends on the key, the type and the
-value only, so one person is one surrogate in all documents (coreference).
+normalised value only, so one person is one surrogate in all documents (coreference):
+numbers count by their digits, e-mails in lower case, and given and family names apart.
+Where a document names a person by title, bare mentions of the name go as well.
 
 Distinctness is checked over the whole corpus: distinct values are gathered by type, and
 where two would share a surrogate, or a surrogate is itself a real value, all but one
@@ -30,23 +32,36 @@ LONGER_AFTER = 6
 BROADCAST_EXCEPTIONS = 200_000
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_MALE = "Mr|Herr|Señor|Monsieur|господин|κύριος"
-_FEMALE = "Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mademoiselle|госпожа|κυρία"
+_MALE = r"Mr|Sir|Lord|Herr|Hr\.|Señor|Sr|Don|Monsieur|M\.|Signor|Sig|господин|г-н|κύριος|κος|κ\."
+_FEMALE = r"Mrs|Ms|Miss|Madam|Lady|Frau|Fr\.|Señora|Señorita|Sra|Srta|Doña|Madame|Mademoiselle|Mme|Mlle|Signora|госпожа|г-жа|κυρία|κα"
+_TITLE = rf"(?:{_FEMALE}|{_MALE}|Mx|Dr|Doctor|Prof|Professor|доктор|профессор)(?!\p{{L}})\.?"
+#: A word of a name; a possessive s is none of it.
+_NAME_WORD = r"\p{Lu}(?:\p{L}|['’-](?!s(?!\p{L}))(?=\p{L}))*+"
+#: Phone numbers without a country: North American ones, and those that begin with 0.
+_NATIONAL = (
+    r"(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}"
+    r"|0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4})"
+    r"|\(0[1-9][0-9]{1,4}\) ?[0-9]{3,4}[ -]?[0-9]{3,5}|0[1-9][0-9]{1,4}[ /-][0-9]{6,8}|0[1-9][0-9]{1,3}[ -][0-9]{3,4}[ -][0-9]{3,4}"
+)
 #: One pattern per type, tried in this order where several begin at one place.
 PATTERNS = {
     "secret": r"(?<![A-Za-z0-9_])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?+[\x20\t]*+[=:][\x20\t]*+[\"']?+[A-Za-z0-9_./+=-]{8,}+",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "phone": r"(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
+    "phone": r"(?<![\w+])\+(?:1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{11,15})(?![0-9])"
+    r"|(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
+    rf"|(?<![\w+.,/:(-])(?:{_NATIONAL})(?![\w-]|\.[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![0-9A-Za-z.])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}"
     r"|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}[\p{{L}}'-]++"
-    rf"(?: (?!(?:{_MALE}|{_FEMALE})(?!\p{{L}}))\p{{Lu}}[\p{{L}}'-]++)?+",
+    "name": rf"(?<![\p{{L}}])(?:{_TITLE} )++(?!{_TITLE}){_NAME_WORD}(?: (?!{_TITLE}){_NAME_WORD})?+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_GATE = rf"[0-9@]|{_MALE}|{_FEMALE}|(?:secret|password|passwd|token|key)"
+_GATE = rf"[0-9@]|{_TITLE} |(?:secret|password|passwd|token|key)"
+
+#: What a phone number's digits begin with and keep.
+_COUNTRY = "0|[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 
 #: Name syllables by script; a surrogate is made of two or three.
 _SYLLABLES = {
@@ -61,21 +76,42 @@ def kind_of(match: Column) -> Column:
     """Type of a match of PATTERN; null for what only looks like an entity."""
     digits = F.regexp_replace(match, "[^0-9]", "")
     out = F.when(match.rlike(f"^(?:{PATTERNS['secret']})$"), "secret").when(F.contains(match, F.lit("@")), "email")
-    out = out.when(F.startswith(match, F.lit("+")), "phone").when(match.rlike("^[A-Z]{2}[0-9]{2}[ A-Z0-9]+$"), "iban")
+    out = out.when(F.startswith(match, F.lit("+")), "phone").when(match.rlike(f"^(?:{_NATIONAL})$"), "phone")
+    out = out.when(match.rlike("^[A-Z]{2}[0-9]{2}[ A-Z0-9]+$"), "iban")
     out = out.when(match.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn").when(match.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), "ip")
     out = out.when(match.rlike(r"^[0-9][0-9 -]+$") & F.call_function("luhn_check", digits), "card")
-    return out.when(match.rlike(rf"^(?:{_MALE}|{_FEMALE})"), "name")
+    return out.when(match.rlike(f"^{_TITLE} "), "name")
 
 
 def value_of(match: Column, kind: Column) -> Column:
     """The identifying part: a secret without its label, a name without its title, else the match."""
     secret = F.regexp_extract(match, r"[=:][\x20\t]*+[\"']?+([A-Za-z0-9_./+=-]+)$", 1)
-    name = F.regexp_replace(match, rf"^(?:{_MALE}|{_FEMALE})\.? ", "")
+    name = F.regexp_replace(match, f"^(?:{_TITLE} )+", "")
     return F.when(kind == "secret", secret).when(kind == "name", name).otherwise(match)
 
 
 def gender_of(match: Column) -> Column:
-    return F.when(match.rlike(rf"^(?:{_FEMALE})(?![\p{{L}}])"), 1).otherwise(0)
+    return F.when(match.rlike(rf"^(?:{_TITLE} )*?(?:{_FEMALE})(?!\p{{L}})"), 1).otherwise(0)
+
+
+def normal_of(value: Column, kind: Column) -> Column:
+    """What all spellings of a value share. A North American phone number gets its country."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    abroad = F.startswith(value, F.lit("+")) | F.startswith(digits, F.lit("0"))
+    out = F.when(kind == "email", F.lower(value)).when(kind == "card", digits)
+    out = out.when(kind == "phone", F.when(abroad, digits).otherwise(F.concat(F.lit("1"), digits)))
+    return out.when(kind == "iban", F.regexp_replace(value, " ", "")).otherwise(value)
+
+
+def parts_of(match: Column) -> Column:
+    """``kind, value, gender`` of what a match is made of: given and family name, or one normalised value."""
+    kind = kind_of(match)
+    value = value_of(match, kind)
+    part = lambda k, v, g: F.struct(k.alias("kind"), v.alias("value"), g.alias("gender"))
+    given = part(F.lit("given"), F.regexp_extract(value, "^[^ ]+", 0), gender_of(match))
+    family = part(F.lit("family"), F.regexp_extract(value, "[^ ]+$", 0), F.lit(0))
+    names = F.when(F.contains(value, F.lit(" ")), F.array(given, family)).otherwise(F.array(family))
+    return F.when(kind == "name", names).when(kind.isNotNull(), F.array(part(kind, normal_of(value, kind), F.lit(0))))
 
 
 def _digest(kind: Column, value: Column, draw: Column, block: Column, key: bytes) -> Column:
@@ -127,14 +163,15 @@ def _script(value: Column) -> Column:
     return F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _name(value: Column, gender: Column, stream: Column, draw: Column) -> Column:
+def _name(kind: Column, value: Column, gender: Column, stream: Column, draw: Column) -> Column:
     def made(script: str) -> Column:
         table = F.array(*(F.lit(s) for s in _SYLLABLES[script]))
         endings = F.array(*(F.lit(e) for e in _ENDINGS[script]))
         pick = lambda k: F.element_at(table, 1 + _number(stream, F.lit(k)) % len(_SYLLABLES[script]))
-        given = F.initcap(F.concat(pick(0), pick(1), pick(2), F.element_at(endings, gender + 1)))
-        family = F.initcap(F.concat(pick(3), pick(4), pick(5), pick(6), F.when(draw >= LONGER_AFTER, pick(7)).otherwise("")))
-        return F.when(F.contains(value, F.lit(" ")), F.concat_ws(" ", given, family)).otherwise(family)
+        more = F.when(draw >= LONGER_AFTER, pick(7)).otherwise("")
+        given = F.initcap(F.concat(pick(0), pick(1), pick(2), more, F.element_at(endings, gender + 1)))
+        family = F.initcap(F.concat(pick(3), pick(4), pick(5), pick(6), more))
+        return F.when(kind == "given", given).otherwise(family)
 
     script = _script(value)
     return F.when(script == "cyrillic", made("cyrillic")).when(script == "greek", made("greek")).otherwise(made("latin"))
@@ -146,12 +183,12 @@ def surrogate(kind: Column, value: Column, gender: Column, draw: Column, key: by
     longer = F.when(draw >= LONGER_AFTER, F.substr(stream, F.lit(1), F.lit(12))).otherwise("")
     at = F.instr(shaped, "@")
     email = F.concat(F.substr(shaped, F.lit(1), at - 1), longer, F.lit("@"), F.regexp_extract(shaped, r"@([^.]*)", 1), F.lit(".example"))
-    country = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    country = F.regexp_extract(value, f"^(?:{_COUNTRY})", 0)
     return (
         F.when(kind == "email", email)
         .when(kind == "card", _luhn(shaped))
         .when(kind == "ip", _address(stream))
-        .when(kind == "name", _name(value, gender, stream, draw))
+        .when(kind.isin("given", "family"), _name(kind, value, gender, stream, draw))
         .when(kind == "phone", F.concat(country, F.substr(shaped, F.length(country) + 1)))
         .when((kind == "secret") & value.rlike("^[0-9a-f]+$"), F.substr(stream, F.lit(1), F.length(value)))
         .when(kind == "secret", F.concat(shaped, longer))
@@ -165,14 +202,11 @@ def _matches(text: Column) -> Column:
 
 
 def entities(documents: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, kind, value, gender`` of every detected entity."""
+    """``doc_id, text_hash, kind, value, gender`` of every part of a detected entity."""
     found = only(documents, "doc_id", "text").select(
         "doc_id", row_hash(F.col("text")).alias("text_hash"), F.explode(_matches(F.col("text"))).alias("match")
     )
-    found = found.withColumn("kind", kind_of(F.col("match"))).filter("kind IS NOT NULL")
-    return found.select(
-        "doc_id", "text_hash", "kind", value_of(F.col("match"), F.col("kind")).alias("value"), gender_of(F.col("match")).alias("gender")
-    )
+    return found.select("doc_id", "text_hash", F.explode(parts_of(F.col("match"))).alias("part")).select("doc_id", "text_hash", "part.*")
 
 
 def exceptions(found: DataFrame, key: bytes) -> DataFrame:
@@ -210,15 +244,47 @@ def exceptions(found: DataFrame, key: bytes) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {MAX_DRAWS} draws")
 
 
+def _new(part: Column, special: Column, key: bytes) -> Column:
+    own = F.filter(special, lambda s: (s["kind"] == part["kind"]) & (s["value"] == part["value"]) & (s["gender"] == part["gender"]))
+    return F.coalesce(F.get(own, F.lit(0))["surrogate"], surrogate(part["kind"], part["value"], part["gender"], F.lit(0), key))
+
+
+def _spelled(value: Column, new: Column) -> Column:
+    """``new``, which is normalised, with the gaps of ``value``; both are lined up at their ends."""
+
+    def one(c, i):
+        left = F.length(F.regexp_replace(F.substr(value, i + 1), "[^0-9A-Za-z]", ""))
+        return F.when(c.rlike("[0-9A-Za-z]"), F.substr(new, F.length(new) - left + 1, F.lit(1))).otherwise(c)
+
+    return F.array_join(F.transform(F.split(value, ""), one), "")
+
+
 def _replaced(match: Column, special: Column, key: bytes) -> Column:
     kind = kind_of(match)
-    value, gender = value_of(match, kind), gender_of(match)
-    own = F.filter(special, lambda s: (s["kind"] == kind) & (s["value"] == value) & (s["gender"] == gender))
-    new = F.coalesce(F.get(own, F.lit(0))["surrogate"], surrogate(kind, value, gender, F.lit(0), key))
+    value = value_of(match, kind)
+    made = F.transform(parts_of(match), lambda p: _new(p, special, key))
+    new = F.when(kind == "name", F.array_join(made, " "))
+    new = new.when(kind.isin("phone", "card", "iban"), _spelled(value, F.get(made, F.lit(0)))).otherwise(F.get(made, F.lit(0)))
     head = F.substr(match, F.lit(1), F.length(match) - F.length(value))
     return F.when(kind.isNull(), match).otherwise(F.concat(head, new))
 
 
+def _people(matches: Column, special: Column, key: bytes) -> Column:
+    """``kind, value, surrogate`` of the names in a document, family names first."""
+    parts = F.array_distinct(F.flatten(F.transform(F.filter(matches, lambda m: kind_of(m) == "name"), parts_of)))
+    told = F.transform(parts, lambda p: F.struct(p["kind"].alias("kind"), p["value"].alias("value"), _new(p, special, key).alias("surrogate")))
+    return F.array_sort(told)
+
+
+def _without_names(text: Column, people: Column) -> Column:
+    """``text`` with its bare mentions of ``people`` replaced, also as parts of hyphened words."""
+    known = lambda word: F.get(F.filter(people, lambda p: p["value"] == word), F.lit(0))["surrogate"]
+    pieces = lambda word: F.array_join(F.transform(F.split(word, "-"), lambda w: F.coalesce(known(w), w)), "-")
+    word = rf"(?<!\p{{L}}){_NAME_WORD}"
+    new = F.transform(F.regexp_extract_all(text, F.lit(word), F.lit(0)), lambda w: F.coalesce(known(w), pieces(w)))
+    return F.array_join(_weave(F.split(text, word, -1), new), "")
+
+
 def _affected(found: DataFrame, special: DataFrame) -> DataFrame:
     """Per document the exceptions among its values."""
     named = special.select(*(F.col(c).alias(f"_{c}") for c in special.columns))
@@ -236,7 +302,8 @@ def _affected(found: DataFrame, special: DataFrame) -> DataFrame:
 def pseudonymize(documents: DataFrame, key: bytes = KEY) -> DataFrame:
     """Every row of ``documents`` as ``doc_id, text, n_entities, kinds`` with entities replaced.
 
-    Null text stays null, texts without entities stay as they are. Repeated rows and null
+    Bare mentions of a name are replaced where its document has it after a title, and are not
+    counted. Null text stays null, texts without entities stay as they are. Repeated rows and null
     ids give a row each; extra columns are ignored; an empty table gives an empty result.
     """
     spark = documents.sparkSession
@@ -253,7 +320,10 @@ def pseudonymize(documents: DataFrame, key: bytes = KEY) -> DataFrame:
     none = F.array().cast("array<struct<kind:string,value:string,gender:int,surrogate:string>>")
     texts = texts.withColumn("special", F.coalesce("special", none)).withColumn("matches", _matches(F.col("text")))
     new = F.transform("matches", lambda m: _replaced(m, F.col("special"), key))
+    texts = texts.withColumn("people", _people(F.col("matches"), F.col("special"), key))
     gaps = F.split("text", PATTERN, -1)
+    people = F.col("people")
+    gaps = F.when(F.size(people) > 0, F.transform(gaps, lambda g: _without_names(g, people))).otherwise(gaps)
     woven = F.array_join(_weave(gaps, new), "")
     kinds = F.filter(F.transform("matches", kind_of), lambda k: k.isNotNull())
     return texts.select(

@@ -239,6 +239,32 @@ def test_surrogates(spark):
     assert one.kinds == ["card", "email", "ip", "name", "phone", "secret"] and two.n_entities == 2
 
 
+def test_surrogates_of_other_spellings(spark):
+    rows = [
+        (1, "Mr John Smith called. John Smith left. Smith's car, Smith-led. Smithson stays. Mr Smith and Dr. John Smith"),
+        (2, "A.B@x.org a.b@X.org"),
+        (3, "+1 (499) 555-6503 +14995556503 499-555-6503 (499) 555-6503."),
+        (4, "415-555-2671 or (415) 555-2671; 030 12345678; 01 23 45 67 89; 020 7946 0958"),
+        (5, "4111 1111 1111 1111 4111111111111111 4111-1111-1111-1111"),
+        (6, "Herr Dr. Meier, Sra. Lopez, M. Dupont, Prof. Weber, Mme Dubois; Meier"),
+        (7, "on 01-02-2024 at 12:30, 123-45-6789, 1234567890"),
+    ]
+    made = surrogates.pseudonymize(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    got = {r.doc_id: r.text for r in made}
+    given, family = re.match(r"Mr (\w+) (\w+) called", got[1]).groups()
+    assert got[1] == rows[0][1].replace("Smithson", "@").replace("John", given).replace("Smith", family).replace("@", "Smithson")
+    assert {given, family}.isdisjoint({"John", "Smith"})
+    assert len(set(got[2].split())) == 1 and "x.org" not in got[2].lower()
+    ten = [re.sub(r"\D", "", m)[-10:] for m in re.findall(r"\+1 \(\d{3}\) \d{3}-\d{4}|\+1\d{10}|\d{3}-\d{3}-\d{4}|\(\d{3}\) \d{3}-\d{4}", got[3])]
+    assert len(ten) == 4 and len(set(ten)) == 1 and ten[0] != "4995556503"
+    for phone in ("415-555-2671", "(415) 555-2671", "030 12345678", "01 23 45 67 89", "020 7946 0958"):
+        assert phone not in got[4]
+    assert re.fullmatch(r"(\d{3})-(\d{3})-(\d{4}) or \(\1\) \2-\3; 0\d\d \d{8}; 0\d( \d\d){4}; 0\d\d \d{4} \d{4}", got[4])
+    assert re.fullmatch(r"(\d{4}) (\d{4}) (\d{4}) (\d{4}) \1\2\3\4 \1-\2-\3-\4", got[5]) and "4111" not in got[5]
+    assert not re.search("Meier|Lopez|Dupont|Weber|Dubois", got[6]) and got[6].startswith("Herr Dr. ")
+    assert got[7].startswith("on 01-02-2024 at 12:30, ") and got[7].endswith(", 1234567890") and "123-45-6789" not in got[7]
+
+
 def test_colliding_surrogates_draw_again(spark, monkeypatch):
     # All first and second draws are equal: only the third tells the values apart.
     real = surrogates.surrogate
