@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from sparktrail.llm import chat, decontaminate, jaccard, linededup, mixing, quality, rules, sharding, spans, surrogates
+from sparktrail.llm import (
+    chat,
+    decontaminate,
+    jaccard,
+    linededup,
+    middle,
+    mixing,
+    quality,
+    ranked,
+    rules,
+    sharding,
+    spans,
+    surrogates,
+    tokenfile,
+)
 
 
 def op4_ngram_jaccard(spark, folder):
@@ -21,6 +35,9 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_mixing": mixing.op10_mixing,
+    "op11_token_files": tokenfile.op11_token_files,
+    "op12_fill_in_middle": middle.op12_fill_in_middle,
+    "op13_ranked_search": ranked.op13_ranked_search,
 }
 
 ORACLES = {
@@ -29,6 +46,8 @@ ORACLES = {
     "op8_decontamination": decontaminate.OP8_SQL,
     "op9_chat_formatting": chat.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op12_fill_in_middle": middle.OP12_SQL,
+    "op13_ranked_search": ranked.OP13_SQL,
 }
 
 
