@@ -6,11 +6,10 @@ an entry of the raw values at the end of its block. A block holds at most BLOCK
 document and starts at a word of its own; the file's index gives every block's words, so
 any run of blocks is decoded in a few vector operations, without walking through it.
 
-Texts are encoded where they are read, and only packed ids move: they are written once,
-dealt out by ranges of (doc_id, row) and written in that order, one file a task. Tasks name
-their files freshly, and the written manifest says which of them count, so a task that is
-run again leaves nothing behind that is read. Folders may be on any store that
-``pyarrow.fs`` opens by its URI.
+Texts are dealt out by ranges of (doc_id, row); every task encodes its range in order and
+writes one file. Tasks name their files freshly, and the written manifest says which of
+them count, so a task that is run again leaves nothing behind that is read. Folders may
+be on any store that ``pyarrow.fs`` opens by its URI.
 """
 
 from __future__ import annotations
@@ -32,22 +31,23 @@ from sparktrail.session import materialize, scratch_path
 U64 = np.uint64
 #: Ids a word and bits an id, by selector. Selector 0 is the escape.
 LAYOUT = [(1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
-COUNTS = np.array([count for count, _ in LAYOUT] + [0], np.int64)
+COUNTS = np.array([count for count, _ in LAYOUT], np.int64)
+BY_COUNT = {count: s for s, (count, _) in enumerate(LAYOUT)}
 #: Least id that no longer fits, for selectors 1 to 14.
 LIMITS = np.array([1 << bits for _, bits in LAYOUT[1:]], U64)
 BLOCK = 4096
 #: Bytes of text encoded and ids packed or read at once (whole blocks).
 CHUNK = 1 << 22
 GROUP = 1 << 20
-#: Ids of a file, ids of a file's segment (which one task reads), most files.
-IDS_PER_FILE = 1 << 24
+#: Bytes of text of a file at least, ids of a file's segment (which one task reads), most files.
+BYTES_PER_FILE = 1 << 24
 SEGMENT = 1 << 22
 MOST_FILES = 100_000
 #: Pieces of words whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 #: Kinds of characters at which pieces of words begin.
-PUNCTUATION = '.,;:!?()"'
-_LETTER, _PUNCTUATION, _DIGIT = 1, 2, 3
+_LETTER, _PUNCTUATION, _DIGIT, _BLANK = 1, 3, 5, 7
+KINDS = {_LETTER: string.ascii_letters, _PUNCTUATION: '.,;:!?()"', _DIGIT: string.digits, _BLANK: " \t\n\r"}
 #: Appended to every document by the registered query.
 END_ID = 2
 
@@ -56,7 +56,6 @@ MAGIC = b"WORDIDS1"
 DOC = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("block", "<i8"), ("id", "<i8")])
 #: Of a block: its first word, ids, and raw words at its end.
 BLOCKS = np.dtype([("word", "<i8"), ("ids", "<i4"), ("raw", "<i4")])
-PACKED = "doc_id bigint, n_tokens bigint, words binary, block_words array<int>, block_raw array<int>"
 MANIFEST = "part int, segment int, file string, first_doc bigint, end_doc bigint, n_ids bigint"
 
 
@@ -65,29 +64,30 @@ MANIFEST = "part int, segment int, file string, first_doc bigint, end_doc bigint
 
 def pack(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Blocks of ``sizes`` ids as words; also the words of each block and the raw ones among them."""
-    n, ends = len(ids), np.cumsum(sizes)
-    left = np.repeat(ends, sizes) - np.arange(n)  # ids from here to the block's end
-    rank = np.searchsorted(LIMITS, ids, side="right").astype(np.uint8)  # selector - 1 by the id alone
-    selector = np.zeros(n, np.uint8)
+    ids, n, ends = ids.astype(U64), len(ids), np.cumsum(sizes)
+    left = np.minimum(np.repeat(ends, sizes) - np.arange(n), 61).astype(np.uint8)  # ids from here to the block's end
+    rank = np.searchsorted(LIMITS, ids, side="right").astype(np.uint8)  # an id fits the selectors above its rank
     most = rank.copy()
-    for count in range(1, 61):
+    selector = np.where(rank < 14, 14, 0).astype(np.uint8)
+    for count in range(2, min(60, n) + 1):
         reach = n - count + 1
-        if count > 1 and reach > 0:
-            inside = left[:reach] >= count
-            np.maximum(most[:reach], np.where(inside, rank[count - 1 :], 0), out=most[:reach])
-        for s, (c, _) in enumerate(LAYOUT):
-            if s and c == count:
-                # Denser selectors are seen later and win; one may reach past the block's end.
-                selector[most < s] = s
-    step = np.minimum(COUNTS[selector], left).tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at += step[at]
-    start = np.array(starts, np.int64)
+        most = np.maximum(most[:reach], np.where(left[:reach] >= count, rank[count - 1 :], 255))
+        if count in BY_COUNT:
+            fits = most < BY_COUNT[count]
+            if not fits.any():  # nor will more ids of fewer bits
+                break
+            selector[:reach][fits] = BY_COUNT[count]
+    step = COUNTS[selector]
+    # All blocks are walked side by side.
+    at, end, walked = ends - sizes, ends, []
+    while len(at):
+        walked.append(at)
+        at = at + step[at]
+        on = at < end
+        at, end = at[on], end[on]
+    start = np.sort(np.concatenate([np.zeros(0, np.int64), *walked]))
     chosen = selector[start]
     words = chosen.astype(U64) << U64(60)
-    padded = np.concatenate([ids.astype(U64), np.zeros(60, U64)])
     block = np.searchsorted(ends, start, side="right")
     for s in np.unique(chosen):
         count, bits = LAYOUT[s]
@@ -96,14 +96,12 @@ def pack(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
             nth = np.arange(len(here))
             words[here] |= (nth - np.searchsorted(block[here], block[here])).astype(U64)
             continue
-        across = np.arange(count)
-        values = padded[start[here][:, None] + across]
-        values[across >= left[start[here]][:, None]] = 0
-        words[here] |= np.bitwise_or.reduce(values << (across * bits).astype(U64), axis=1)
+        for k in range(count):
+            words[here] |= ids[start[here] + k] << U64(k * bits)
     last = np.searchsorted(start, ends)
     escaped = np.flatnonzero(chosen == 0)
     raw = np.bincount(block[escaped], minlength=len(sizes))
-    words = np.insert(words, last[block[escaped]], padded[start[escaped]])
+    words = np.insert(words, last[block[escaped]], ids[start[escaped]])
     return words, np.diff(last, prepend=0) + raw, raw
 
 
@@ -125,11 +123,9 @@ def unpack(words: np.ndarray, sizes: np.ndarray, block_words: np.ndarray, block_
             payload = (words[here] & U64((1 << 60) - 1)).astype(np.int64)
             out[(first[block] + within)[here]] = raw[(np.cumsum(block_raw) - block_raw)[block[here]] + payload]
             continue
-        across = np.arange(count)
-        values = (words[here][:, None] >> (across * bits).astype(U64)) & U64((1 << bits) - 1)
-        there = within[here][:, None] + across
-        inside = there < sizes[block[here]][:, None]
-        out[(first[block[here]][:, None] + there)[inside]] = values[inside]
+        there = (first[block] + within)[here]
+        for k in range(count):
+            out[there + k] = (words[here] >> U64(k * bits)) & U64((1 << bits) - 1)
     return out
 
 
@@ -139,11 +135,11 @@ def unpack(words: np.ndarray, sizes: np.ndarray, block_words: np.ndarray, block_
 class Encoder:
     """Ids of whole texts. With ``by_words`` every distinct piece of a word is encoded once.
 
-    Pieces begin after a blank, between a letter and punctuation, and on both sides of a
-    digit, if with an ASCII character. That is for tokenizers that drop white space, split
-    letters from punctuation and take digits one by one: there no token spans such a place,
-    and normalization joins no ASCII character to what is before it. Punctuation and digits
-    that special tokens hold are left out.
+    Pieces begin at either end of white space, between a letter and punctuation, and on both
+    sides of a digit, if with a character below U+0300. That is for tokenizers that drop
+    white space, split letters from punctuation and take digits one by one: there no token
+    spans such a place, and normalization joins no such character to what is before it.
+    Characters that special tokens hold are left out.
     """
 
     def __init__(self, path: str, by_words: bool) -> None:
@@ -153,8 +149,14 @@ class Encoder:
         self.tokenizer, self.by_words = Tokenizer.from_file(path), by_words
         special = "".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.kinds = np.zeros(256, np.uint8)
-        for kind, characters in enumerate((string.ascii_letters, PUNCTUATION, string.digits), 1):
+        for kind, characters in KINDS.items():
             self.kinds[[ord(c) for c in characters if kind == _LETTER or c not in special]] = kind
+        # Whether an id ends a word, for models that mark it.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(0, bool)
+        if suffix:
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.last[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -162,14 +164,22 @@ class Encoder:
         self.pool, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch(
-            [words[k : k + 4096] for k in range(0, len(words), 4096)], is_pretokenized=True, add_special_tokens=False
-        )
-        sizes = [min(4096, len(words) - k) for k in range(0, len(words), 4096)]
-        lengths = [np.bincount(np.array(e.word_ids, np.int64), minlength=n) for e, n in zip(found, sizes, strict=True)]
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.lengths = np.concatenate([self.lengths, *lengths])
-        self.pool = np.concatenate([self.pool, *(np.array(e.ids, np.uint32) for e in found)])
+        """Encode new pieces: runs of letters joined by blanks, where ids tell the ends of words; others one by one."""
+        joined = [w for w in words if w.isalpha()] if len(self.last) else []
+        ids, ends = self._joined(joined)
+        if len(ends) != len(joined):  # normalization made two words of one
+            joined, ids, ends = [], ids[:0], ends[:0]
+        rest = list(set(words).difference(joined)) if joined else words
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        self.known.update(zip([*joined, *rest], range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.lengths = np.concatenate([self.lengths, np.diff(ends, prepend=0), np.array([len(x) for x in found], np.int64)])
+        self.pool = np.concatenate([self.pool, ids, *found])
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
+        return ids, np.flatnonzero(self.last[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows of a chunk, and how many each row has."""
@@ -188,7 +198,7 @@ class Encoder:
         pieces = pa.LargeStringArray.from_buffers(
             len(cuts), pa.py_buffer(np.append(cuts, len(data))), pa.py_buffer(np.ascontiguousarray(data))
         ).dictionary_encode()
-        words, code = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        words, code = pieces.dictionary.to_numpy(zero_copy_only=False).tolist(), pieces.indices.to_numpy()
         if len(self.known) + len(words) > REMEMBERED:
             self._forget()
         if new := [w for w in words if w not in self.known]:
@@ -203,14 +213,17 @@ class Encoder:
 
 
 def _piece_starts(data: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """Where a piece of a word begins."""
-    cut = np.zeros(len(data), bool)
-    cut[0] = True
+    """Where a piece of a word, or white space, begins."""
     kind = kinds[data]
+    # Letters with accents: two bytes from 0xC3, but for the signs of multiplication and division.
+    accented = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+    kind[accented] = kind[accented + 1] = _LETTER
     before, after = kind[:-1], kind[1:]
-    cut[1:] = before * after == _LETTER * _PUNCTUATION
-    cut[1:] |= (before == _DIGIT) | (after == _DIGIT) | (data[:-1] == 0x20)
-    cut[1:] &= (data[1:] > 0x20) & (data[1:] < 0x7F)
+    cut = np.zeros(len(data), bool)
+    cut[0] = True
+    cut[1:] = (before * after == _LETTER * _PUNCTUATION) | (before == _DIGIT) | (after == _DIGIT)
+    cut[1:] |= (before == _BLANK) != (after == _BLANK)
+    cut[1:] &= (data[1:] < 0x80) | ((data[1:] >= 0xC2) & (data[1:] <= 0xCB))
     return cut
 
 
@@ -245,58 +258,45 @@ def _block_sizes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, blocks
 
 
-def _pack_long(ids: np.ndarray) -> tuple[bytes, list[int], list[int]]:
-    words, counts, raws = [], [], []
-    for at in range(0, len(ids), GROUP):
-        part = ids[at : at + GROUP]
-        w, c, r = pack(part, _block_sizes(np.array([len(part)]))[0])
-        words.append(w.astype("<u8").tobytes())
-        counts += c.tolist()
-        raws += r.tolist()
-    return b"".join(words), counts, raws
+def _pack_long(ids: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    parts = [ids[at : at + GROUP] for at in range(0, len(ids), GROUP)]
+    words, counts, raws = zip(*(pack(p, _block_sizes(np.array([len(p)]))[0]) for p in parts), strict=True)
+    return b"".join(w.astype("<u8").tobytes() for w in words), np.concatenate(counts), np.concatenate(raws)
 
 
-def packed_ids(documents: DataFrame, tokenizer_path: str, end_id: int | None, by_words: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, words, block_words, block_raw`` per row of ``documents``.
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
-    Null text counts as empty. Repeated rows and null ids give a row each; extra columns are
-    ignored. ``tokenizer_path`` is a file that every executor can open.
-    """
 
-    def run(batches):
-        import pyarrow as pa
+def _encoder(path: str, by_words: bool) -> Encoder:
+    """The encoder of this worker, which remembers words from task to task."""
+    if (path, by_words) not in _encoders:
+        _encoders[path, by_words] = Encoder(path, by_words)
+    return _encoders[path, by_words]
 
-        encoder = Encoder(tokenizer_path, by_words)
-        tail = [] if end_id is None else [end_id]
-        ints = pa.list_(pa.int32())
-        for batch in batches:
-            data, offsets = byte_column(batch.column(1))
-            for at, end in _chunks(offsets):
-                keys = batch.column(0).slice(at, end - at)
-                text = data[offsets[at] : offsets[end]]
-                if by_words and len(text) > CHUNK:
-                    ids = [encoder(s, np.array([0, len(s)]))[0] for s in _slices(text)]
-                    ids = np.concatenate([*ids, np.array(tail, np.uint32)])
-                    words, counts, raws = _pack_long(ids)
-                    columns = [pa.array([len(ids)], pa.int64()), pa.array([words], pa.binary()), pa.array([counts], ints), pa.array([raws], ints)]
-                    yield pa.RecordBatch.from_arrays([keys, *columns], ["doc_id", "n_tokens", "words", "block_words", "block_raw"])
-                    continue
-                ids, sizes = encoder(text, offsets[at : end + 1] - offsets[at])
-                if tail:
-                    ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
-                block_sizes, blocks = _block_sizes(sizes)
-                words, counts, raws = pack(ids, block_sizes)
-                edges = np.concatenate([[0], np.cumsum(blocks)])
-                word_edges = np.concatenate([[0], np.cumsum(counts)])[edges]
-                packed = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), end - at, [None, pa.py_buffer(word_edges * 8), pa.py_buffer(words.astype("<u8"))]
-                ).cast(pa.binary())
-                lists = [pa.ListArray.from_arrays(edges.astype(np.int32), pa.array(x.astype(np.int32))) for x in (counts, raws)]
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(sizes), packed, *lists], ["doc_id", "n_tokens", "words", "block_words", "block_raw"]
-                )
-
-    return only(documents, "doc_id", "text").mapInArrow(run, PACKED)
+
+def packed(batch, encoder: Encoder, end_id: int | None) -> Iterator[tuple[int | None, int, bytes, np.ndarray, np.ndarray]]:
+    """``doc_id, n_ids, words, words of each block, raw words of each block`` of the rows of a batch."""
+    tail = np.array([] if end_id is None else [end_id], np.uint32)
+    keys = batch.column(0).to_pylist()
+    data, offsets = byte_column(batch.column(1))
+    for at, end in _chunks(offsets):
+        text = data[offsets[at] : offsets[end]]
+        if encoder.by_words and len(text) > CHUNK:
+            ids = np.concatenate([*(encoder(s, np.array([0, len(s)]))[0] for s in _slices(text)), tail])
+            yield keys[at], len(ids), *_pack_long(ids)
+            continue
+        ids, sizes = encoder(text, offsets[at : end + 1] - offsets[at])
+        if len(tail):
+            ids, sizes = np.insert(ids, np.cumsum(sizes), tail[0]), sizes + 1
+        block_sizes, blocks = _block_sizes(sizes)
+        words, counts, raws = pack(ids, block_sizes)
+        words = words.astype("<u8").tobytes()
+        edges = np.concatenate([[0], np.cumsum(blocks)])
+        bounds = (8 * np.concatenate([[0], np.cumsum(counts)])[edges]).tolist()
+        edges = edges.tolist()
+        for k in range(end - at):
+            blocks_of = slice(edges[k], edges[k + 1])
+            yield keys[at + k], int(sizes[k]), words[bounds[k] : bounds[k + 1]], counts[blocks_of], raws[blocks_of]
 
 
 # --- files -------------------------------------------------------------------
@@ -350,15 +350,15 @@ class _Writer:
         return self.segments
 
 
-def write_files(packed: DataFrame, folder: str, ids_per_file: int = IDS_PER_FILE) -> DataFrame:
-    """Write ``packed`` in ascending order of doc_id (nulls first); returns the manifest of the files.
-
-    Rows that share an id are ordered as they were read. ``packed`` should be a written table.
-    """
-    total = packed.agg(F.sum("n_tokens")).first()[0] or 0
-    files = min(MOST_FILES, -(-total // ids_per_file)) or 1
+def write_files(
+    documents: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, by_words: bool, bytes_per_file: int = BYTES_PER_FILE
+) -> DataFrame:
+    """Write the ids of ``documents`` in ascending order of doc_id (nulls first) and return the files' manifest."""
+    texts = only(documents, "doc_id", "text")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = min(MOST_FILES, -(-total // bytes_per_file)) or 1
     # The row number lets a hot id spread over several files.
-    dealt = packed.withColumn("row", F.monotonically_increasing_id())
+    dealt = texts.withColumn("row", F.monotonically_increasing_id())
     dealt = dealt.repartitionByRange(files, "doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row")
 
     def run(batches):
@@ -367,9 +367,9 @@ def write_files(packed: DataFrame, folder: str, ids_per_file: int = IDS_PER_FILE
 
         writer = None
         for batch in batches:
-            writer = writer or (_Writer(folder, TaskContext.get().partitionId()) if batch.num_rows else None)
-            for doc_id, n, words, counts, raws in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                writer.add(doc_id, n, words, np.array(counts, np.int64), np.array(raws, np.int64))
+            for document in packed(batch, _encoder(tokenizer_path, by_words), end_id):
+                writer = writer or _Writer(folder, TaskContext.get().partitionId())
+                writer.add(*document)
         if writer:
             names = [c.split()[0] for c in MANIFEST.split(", ")]
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
@@ -454,15 +454,22 @@ def crc_digest(doc_id, start, n, pieces):
 
 
 def token_files(
-    documents: DataFrame, tokenizer_path: str, end_id: int | None = END_ID, by_words: bool = False, ids_per_file: int = IDS_PER_FILE
+    documents: DataFrame,
+    tokenizer_path: str,
+    end_id: int | None = END_ID,
+    by_words: bool = False,
+    bytes_per_file: int = BYTES_PER_FILE,
 ) -> DataFrame:
     """Encode ``documents`` into files below the shared folder and return their written manifest.
 
-    An empty table makes no file and an empty manifest.
+    ``tokenizer_path`` is a file that every executor can open; ``by_words`` is explained at
+    ``Encoder``. Null text counts as empty. Repeated rows and rows with a null id are
+    documents of their own (nulls come first, rows of one id in the order of the scan).
+    Extra columns are ignored. An empty table makes no file and an empty manifest.
     """
     spark = documents.sparkSession
-    packed = materialize(spark, packed_ids(documents, tokenizer_path, end_id, by_words), "packed")
-    return materialize(spark, write_files(packed, scratch_path(spark, "ids"), ids_per_file), "manifest")
+    files = write_files(documents, scratch_path(spark, "ids"), tokenizer_path, end_id, by_words, bytes_per_file)
+    return materialize(spark, files, "manifest")
 
 
 def op11_token_files(spark, folder: str) -> DataFrame:

@@ -106,9 +106,9 @@ def brute_tokens(rows):
     return out, start
 
 
-@pytest.mark.parametrize(("by_words", "ids_per_file"), [(True, 1 << 24), (False, 1 << 24), (True, 20_000)])
-def test_token_files_against_brute_force(spark, docs, by_words, ids_per_file):
-    manifest = tokenfile.token_files(docs, PATH, by_words=by_words, ids_per_file=ids_per_file)
+@pytest.mark.parametrize(("by_words", "bytes_per_file"), [(True, 1 << 24), (False, 1 << 24), (True, 50)])
+def test_token_files_against_brute_force(spark, docs, by_words, bytes_per_file):
+    manifest = tokenfile.token_files(docs, PATH, by_words=by_words, bytes_per_file=bytes_per_file)
     rows = [tuple(r) for r in tokenfile.read_files(manifest, tokenfile.crc_digest, DIGEST).collect()]
     rows.sort(key=lambda r: r[1])
     want, total = brute_tokens(ROWS)
