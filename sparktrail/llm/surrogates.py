@@ -10,8 +10,10 @@ Where a document names a person by title, bare mentions of the name go as well.
 
 Distinctness is checked over the whole corpus: distinct values are gathered by type, and
 where two would share a surrogate, or a surrogate is itself a real value, all but one
-draw again. Only those exceptions are joined back; every other replacement is computed
-where the text is read, without moving it. All of it is built-in functions.
+draw again. Those exceptions are a constant of the plan, an array of buckets, in which the
+values are looked up where the text is read; every other replacement is computed there, and no text moves.
+Beyond a limit of exceptions, texts with entities alone are joined to theirs. All of it is
+built-in functions.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ KEY = b"surrogate-key"
 #: Draws before the job gives up, and from which draw on a value gets longer.
 MAX_DRAWS = 40
 LONGER_AFTER = 6
-#: Most exceptions whose documents are found by a broadcast.
+#: Most exceptions that go along with the plan, and into how many buckets.
 BROADCAST_EXCEPTIONS = 200_000
+BUCKETS = 4096
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _MALE = r"Mr|Sir|Lord|Herr|Hr\.|Señor|Sr|Don|Monsieur|M\.|Signor|Sig|господин|г-н|κύριος|κος|κ\."
@@ -168,7 +171,10 @@ def _name(kind: Column, value: Column, gender: Column, stream: Column, draw: Col
         table = F.array(*(F.lit(s) for s in _SYLLABLES[script]))
         endings = F.array(*(F.lit(e) for e in _ENDINGS[script]))
         pick = lambda k: F.element_at(table, 1 + _number(stream, F.lit(k)) % len(_SYLLABLES[script]))
-        more = F.when(draw >= LONGER_AFTER, pick(7)).otherwise("")
+        # Every further draw adds a syllable, so names never run out.
+        extra = F.sequence(F.lit(7), F.greatest(draw - LONGER_AFTER, F.lit(0)) + 7)
+        more = F.when(draw >= LONGER_AFTER, F.array_join(F.transform(extra, lambda k: F.element_at(table, 1 + _number(stream, k) % len(_SYLLABLES[script]))), ""))
+        more = F.coalesce(more, F.lit(""))
         given = F.initcap(F.concat(pick(0), pick(1), pick(2), more, F.element_at(endings, gender + 1)))
         family = F.initcap(F.concat(pick(3), pick(4), pick(5), pick(6), more))
         return F.when(kind == "given", given).otherwise(family)
@@ -244,8 +250,10 @@ def exceptions(found: DataFrame, key: bytes) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {MAX_DRAWS} draws")
 
 
-def _new(part: Column, special: Column, key: bytes) -> Column:
-    own = F.filter(special, lambda s: (s["kind"] == part["kind"]) & (s["value"] == part["value"]) & (s["gender"] == part["gender"]))
+def _new(part: Column, buckets: Column, key: bytes) -> Column:
+    """The surrogate of a part. ``buckets`` has one array of exceptions a bucket, or one for all."""
+    held = F.get(buckets, F.when(F.size(buckets) > 1, _bucket(part["value"])).otherwise(0))
+    own = F.filter(held, lambda s: (s["kind"] == part["kind"]) & (s["value"] == part["value"]) & (s["gender"] == part["gender"]))
     return F.coalesce(F.get(own, F.lit(0))["surrogate"], surrogate(part["kind"], part["value"], part["gender"], F.lit(0), key))
 
 
@@ -259,20 +267,20 @@ def _spelled(value: Column, new: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
-def _replaced(match: Column, special: Column, key: bytes) -> Column:
+def _replaced(match: Column, buckets: Column, key: bytes) -> Column:
     kind = kind_of(match)
     value = value_of(match, kind)
-    made = F.transform(parts_of(match), lambda p: _new(p, special, key))
+    made = F.transform(parts_of(match), lambda p: _new(p, buckets, key))
     new = F.when(kind == "name", F.array_join(made, " "))
     new = new.when(kind.isin("phone", "card", "iban"), _spelled(value, F.get(made, F.lit(0)))).otherwise(F.get(made, F.lit(0)))
     head = F.substr(match, F.lit(1), F.length(match) - F.length(value))
     return F.when(kind.isNull(), match).otherwise(F.concat(head, new))
 
 
-def _people(matches: Column, special: Column, key: bytes) -> Column:
+def _people(matches: Column, buckets: Column, key: bytes) -> Column:
     """``kind, value, surrogate`` of the names in a document, family names first."""
     parts = F.array_distinct(F.flatten(F.transform(F.filter(matches, lambda m: kind_of(m) == "name"), parts_of)))
-    told = F.transform(parts, lambda p: F.struct(p["kind"].alias("kind"), p["value"].alias("value"), _new(p, special, key).alias("surrogate")))
+    told = F.transform(parts, lambda p: F.struct(p["kind"].alias("kind"), p["value"].alias("value"), _new(p, buckets, key).alias("surrogate")))
     return F.array_sort(told)
 
 
@@ -285,21 +293,36 @@ def _without_names(text: Column, people: Column) -> Column:
     return F.array_join(_weave(F.split(text, word, -1), new), "")
 
 
-def _affected(found: DataFrame, special: DataFrame) -> DataFrame:
-    """Per document the exceptions among its values."""
+def _bucket(value: Column) -> Column:
+    return F.pmod(F.xxhash64(value), F.lit(BUCKETS)).cast("int")
+
+
+_SPECIAL = "array<struct<kind:string,value:string,gender:int,surrogate:string>>"
+
+
+def _all_buckets(special: DataFrame) -> Column:
+    """The exceptions, few as they are, as a constant of the plan: an array with one array of them a bucket."""
+    kept = F.struct("kind", "value", "gender", "surrogate")
+    filled = special.groupBy(_bucket(F.col("value")).alias("bucket")).agg(F.collect_list(kept).alias("held"))
+    held: list[str] = ["[]"] * BUCKETS
+    for row in filled.select("bucket", F.to_json("held").alias("held")).collect():
+        held[row["bucket"]] = row["held"]
+    return F.from_json(F.lit(f"[{','.join(held)}]"), f"array<{_SPECIAL}>")
+
+
+def _held_by_document(found: DataFrame, special: DataFrame) -> DataFrame:
+    """Per document with exceptions among its values: those, in one bucket."""
     named = special.select(*(F.col(c).alias(f"_{c}") for c in special.columns))
-    if bounded(special, BROADCAST_EXCEPTIONS):
-        named = F.broadcast(named)
     same = [F.col(c) == F.col(f"_{c}") for c in ("kind", "value", "gender")]
     hit = found.join(named, same).select(
         "doc_id", "text_hash", F.struct("kind", "value", "gender", F.col("_surrogate").alias("surrogate")).alias("special")
     )
     return hit.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
-        F.collect_set("special").alias("special")
+        F.array(F.collect_set("special")).alias("buckets")
     )
 
 
-def pseudonymize(documents: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymize(documents: DataFrame, key: bytes = KEY, broadcast_exceptions: int = BROADCAST_EXCEPTIONS) -> DataFrame:
     """Every row of ``documents`` as ``doc_id, text, n_entities, kinds`` with entities replaced.
 
     Bare mentions of a name are replaced where its document has it after a title, and are not
@@ -311,16 +334,23 @@ def pseudonymize(documents: DataFrame, key: bytes = KEY) -> DataFrame:
     special = materialize(spark, exceptions(found, key), "exceptions")
     texts = only(documents, "doc_id", "text")
     if special.isEmpty():
-        texts = texts.withColumn("special", F.lit(None).cast("array<struct<kind:string,value:string,gender:int,surrogate:string>>"))
-    else:
-        marks = _affected(found, special)
-        texts = texts.withColumn("_text_hash", row_hash(F.col("text")))
-        same = texts["doc_id"].eqNullSafe(marks["_id"]) & (texts["_text_hash"] == marks["_hash"])
-        texts = texts.join(marks, same, "left").select("doc_id", "text", "special")
-    none = F.array().cast("array<struct<kind:string,value:string,gender:int,surrogate:string>>")
-    texts = texts.withColumn("special", F.coalesce("special", none)).withColumn("matches", _matches(F.col("text")))
-    new = F.transform("matches", lambda m: _replaced(m, F.col("special"), key))
-    texts = texts.withColumn("people", _people(F.col("matches"), F.col("special"), key))
+        return _rewritten(texts, F.lit(None).cast(f"array<{_SPECIAL}>"), key)
+    if bounded(special, broadcast_exceptions):
+        return _rewritten(texts, _all_buckets(special), key)
+    # Only texts with entities meet their exceptions; the others stay where they are.
+    marks = _held_by_document(found, special)
+    has_some = F.coalesce(F.size(_matches(F.col("text"))) > 0, F.lit(False))
+    named = texts.filter(has_some).withColumn("_text_hash", row_hash(F.col("text")))
+    same = named["doc_id"].eqNullSafe(marks["_id"]) & (named["_text_hash"] == marks["_hash"])
+    joined = named.join(marks, same, "left").select("doc_id", "text", "buckets")
+    rest = _rewritten(texts.filter(~has_some), F.lit(None).cast(f"array<{_SPECIAL}>"), key)
+    return _rewritten(joined, F.col("buckets"), key).union(rest)
+
+
+def _rewritten(texts: DataFrame, buckets: Column, key: bytes) -> DataFrame:
+    texts = texts.withColumn("matches", _matches(F.col("text")))
+    new = F.transform("matches", lambda m: _replaced(m, buckets, key))
+    texts = texts.withColumn("people", _people(F.col("matches"), buckets, key))
     gaps = F.split("text", PATTERN, -1)
     people = F.col("people")
     gaps = F.when(F.size(people) > 0, F.transform(gaps, lambda g: _without_names(g, people))).otherwise(gaps)
