@@ -108,6 +108,27 @@ def signatures(tools: DataFrame) -> DataFrame:
     )
 
 
+def signed_rows(tools: DataFrame) -> DataFrame:
+    """Every row of a tool list with its hashes, surface and whether its description injects.
+
+    Row by row, so that it also runs on a stream; a tool without a schema has an empty surface.
+    """
+    canonical = F.to_json(F.try_parse_json(F.coalesce("input_schema", F.lit("null"))))
+    none = F.array().cast("array<string>")
+    return tools.withColumn("_surface", _surface_udf()("input_schema")).select(
+        "mcp",
+        "snap",
+        "size",
+        "pos",
+        "tool",
+        F.sha2(F.coalesce("description", F.lit("")), 256).alias("d"),
+        F.sha2(canonical, 256).alias("s"),
+        F.coalesce("_surface.p", none).alias("p"),
+        F.coalesce("_surface.r", none).alias("r"),
+        F.coalesce(has_injection("description"), F.lit(False)).alias("injected"),
+    )
+
+
 def manifest_hashes(sigs: DataFrame) -> DataFrame:
     """A digest per (mcp, snap) that does not depend on tool order."""
     summed = sigs.groupBy("mcp", "snap").agg(*set_digest(F.col("tool"), F.col("d"), F.col("s")))

@@ -158,6 +158,13 @@ def trail_columns(dialect: str) -> list[str]:
     ]
 
 
+#: Types of a trail in which sessions end: by the shutdown of their process or by a hook event.
+MARKER_COLUMNS = [
+    "CASE WHEN event_id % 23 = 0 THEN 'proxy.shutdown' WHEN event_id % 29 IN (0, 1) THEN 'cc.event' ELSE type END AS type",
+    "CASE WHEN event_id % 29 = 0 THEN 'SessionEnd' WHEN event_id % 29 = 1 THEN 'SessionStart' END AS hook_event",
+]
+
+
 def trail(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "events")).selectExpr(*trail_columns("spark"))
 

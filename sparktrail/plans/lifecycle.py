@@ -9,6 +9,7 @@ from sparktrail.functions import ulid
 from sparktrail.operators import lifecycle, trail
 from sparktrail.operators.filters import DetectionFilter, matches
 from sparktrail.plans import fixtures as X
+from sparktrail.plans import trail as trail_plans
 from sparktrail.session import scratch_path
 from sparktrail.sources import files
 from sparktrail.sources.tables import spread, table
@@ -132,6 +133,8 @@ QUERIES = {
     "stream_outcomes": lambda s, sf: jobs.run_outcomes(s, sf),
     "stream_counts": lambda s, sf: jobs.run_counts(s, sf),
     "stream_sessions": lambda s, sf: jobs.run_sessions(s, sf),
+    "stream_session_ends": lambda s, sf: jobs.run_session_ends(s, sf),
+    "stream_alerts": lambda s, sf: jobs.run_alerts(s, sf),
 }
 
 _T = f"WITH t AS MATERIALIZED (SELECT *, rpc_id_type || ':' || coalesce(rpc_id, '') AS rk FROM ({X.select_sql(X.trail_columns('duckdb'), 'events')}))"
@@ -191,4 +194,13 @@ ORACLES = {
     "stream_sessions": _T
     + f""", s AS (SELECT session, max(epoch_us(ts) // 1000) AS last_ms, count(*) AS n, bool_or(value > 60) AS terminal FROM t GROUP BY session)
       SELECT * FROM s WHERE terminal OR {_MS(X.LATER)} - last_ms > 604800000""",
+    "stream_session_ends": _T
+    + f""", m AS (SELECT id, session, epoch_us(ts) // 1000 AS ms, event_id % 23 = 0 OR event_id % 29 = 0 AS terminal FROM t),
+      o AS (SELECT *, CASE WHEN lag(terminal) OVER w OR ms - lag(ms) OVER w > 172800000 THEN 1 ELSE 0 END AS opens FROM m
+        WINDOW w AS (PARTITION BY session ORDER BY ms, terminal, id)),
+      r AS (SELECT *, sum(opens) OVER (PARTITION BY session ORDER BY ms, terminal, id) AS run FROM o),
+      s AS (SELECT session, run, max(ms) AS last_ms, count(*) AS n, bool_or(terminal) AS marked, run < max(run) OVER (PARTITION BY session) AS followed FROM r GROUP BY session, run)
+      SELECT session, last_ms, n, CASE WHEN marked THEN 'marker' ELSE 'silence' END AS reason FROM s
+      WHERE marked OR followed OR {_MS(X.LATER)} - last_ms > 172800000""",
+    "stream_alerts": trail_plans.ORACLES["alert_transitions"],
 }

@@ -36,15 +36,24 @@ def gold(spark, sf):
     return assemble.assemble(trail.with_args_summary(rows), ORDER)
 
 
-def trail_scan(spark, sf):
-    lines = spread(table(spark, sf, "events")).selectExpr(*X.raw_trail_columns("spark"))
-    rows = trail.detection_rows(trail.parse_trail(lines.select("event_id", "raw")), X.SELFTEST_MCP)
+def _scanned(lines):
+    rows = trail.detection_rows(trail.parse_trail(lines), X.SELFTEST_MCP)
     return rows.select(
         "id", "type", "mcp", "rpc_id", "rpc_id_type", "category", "severity", "tool_name", "tool_use_id", "args_json",
         F.size("findings").cast("bigint").alias("n_findings"),
     )
 
 
+def trail_scan(spark, sf):
+    return _scanned(spread(table(spark, sf, "events")).selectExpr(*X.raw_trail_columns("spark")).select("event_id", "raw"))
+
+
+def trail_tail(spark, sf):
+    from sparktrail.streaming import jobs
+
+    return _scanned(jobs.run_tail(spark, sf).select("file", "start", F.col("line").alias("raw")))
+
+
 def dedupe_by_id(spark, sf):
     rows = X.trail(spark, sf).withColumn("id", F.expr("lpad(CAST(event_id div 3 AS STRING), 12, '0')"))
     return trail.dedupe_first(rows, ["event_id"]).select("id", "event_id", "type", "session")
@@ -208,6 +217,7 @@ def ner_threshold(spark, sf):
 
 QUERIES = {
     "trail_scan": trail_scan,
+    "trail_tail": trail_tail,
     "dedupe_by_id": dedupe_by_id,
     "outcomes": outcomes,
     "enrichment_join": enrichment_join,
@@ -376,3 +386,5 @@ ORACLES = {
     + """, f AS (SELECT id, array_to_string(list_filter(['PER', 'LOC'], lambda k: CASE k WHEN 'PER' THEN (event_id % 101) / 100.0 > 0.5 ELSE (event_id % 7) / 10.0 > 0.5 END), ',') AS types
         FROM t WHERE type = 'mcp.request') SELECT id, 'pii_detected' AS category, 'low' AS severity, types FROM f WHERE types <> ''""",
 }
+
+ORACLES["trail_tail"] = ORACLES["trail_scan"]

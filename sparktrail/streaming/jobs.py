@@ -6,16 +6,18 @@ with any trigger; the ``run_*`` functions drain the given tables once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparktrail.operators import assemble, hooks, manifest, pairing
+from sparktrail.operators import assemble, hooks, lifecycle, manifest
+from sparktrail.operators.alerts import auth_signal
 from sparktrail.operators.filters import flagged
 from sparktrail.operators.findings import mask_persisted
 from sparktrail.plans import fixtures as X
-from sparktrail.session import scratch_path
+from sparktrail.session import materialize, scratch_path
+from sparktrail.sources import tail
 from sparktrail.sources.tables import table
-from sparktrail.streaming import state
+from sparktrail.streaming import state, stateful
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -74,54 +76,139 @@ def run_hooks(spark, folder):
     )
 
 
-# --- pairing with carried state ----------------------------------------------
+def grow_files(lines: DataFrame, folder: str, files: int, key: str, share: float) -> None:
+    """Write the first ``share`` of the bytes of each file of ``lines`` (key, raw), cut anywhere.
 
-_FRAME = "session STRING, seq BIGINT, ts_ms BIGINT, kind STRING, direction STRING, rpc_id STRING, method STRING"
+    A file is written from its start each time, so a task that runs again does no harm; for a
+    reader it has grown.
+    """
+    parted = lines.withColumn("_file", F.pmod(F.xxhash64(key), F.lit(files)))
+    total = parted.groupBy("_file").agg(F.sum(F.octet_length("raw") + 1).alias("_bytes"))
+    sized = parted.join(F.broadcast(total), "_file")  # one row a file
+    sized = sized.repartition(files, "_file").sortWithinPartitions("_file", key)
+
+    def run(batches):
+        out, name, left = None, None, 0
+        for batch in batches:
+            for row in batch.select(["_file", "raw", "_bytes"]).to_pylist():
+                if row["_file"] != name:
+                    if out:
+                        out.close()
+                    name, left = row["_file"], int(row["_bytes"] * share)
+                    out = tail.create(f"{folder}/part-{name:05d}.jsonl")
+                data = (row["raw"] + "\n").encode()[:left]
+                out.write(data)
+                left -= len(data)
+        if out:
+            out.close()
+        yield from ()
+
+    sized.mapInArrow(run, "done int").write.format("noop").mode("overwrite").save()
+
+
+def run_tail(spark, folder):
+    """Trail lines out of files that grow by unequal pieces of bytes, read after each piece."""
+    root = scratch_path(spark, "tail")
+    lines = table(spark, folder, "events").selectExpr(*X.raw_trail_columns("spark")).select("event_id", "raw")
+    lines = materialize(spark, lines, "lines")
+    tail.register(spark)
+    for share in (0.3, 0.77, 1.0):
+        grow_files(lines, f"{root}/files", 4, "event_id", share)
+        stream = spark.readStream.format(tail.NAME).option("path", f"{root}/files").load()
+        state.drain(append(stream, root))
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+# --- keyed state of the engine -----------------------------------------------
+
+
+def append(rows: DataFrame, root: str, trigger=None):
+    """Append what a stream gives to ``root``/out, each row once."""
+    writer = rows.writeStream.format("parquet").outputMode("append").option("path", f"{root}/out")
+    return writer.option("checkpointLocation", f"{root}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def latency_step(batch: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pair a batch with the requests still waiting; keep those that wait on."""
-    frames = pending.unionByName(batch.select(*pending.columns))
-    paired = pairing.pair_responses(frames)
-    matched = paired.where("kind = 'response' AND latency_ms IS NOT NULL").select("session", "seq", "latency_ms")
-    last = paired.groupBy("session", "request_direction", "rpc_id").agg(
-        F.max_by(F.struct(*pending.columns), "seq").alias("_last")
-    )
-    return matched, last.where("_last.kind = 'request'").select("_last.*")
+def feed(rows: DataFrame, step: Column, steps: int, root: str, job, last: DataFrame | None = None) -> DataFrame:
+    """Deliver a table step by step to ``job(stream)``, which is stopped in the middle and started again.
 
-
-def pair_latency(stream: DataFrame, root: str, trigger=None):
-    run = state.carrying(stream.sparkSession, root, _FRAME, latency_step)
-    return state.start(stream, run, f"{root}/checkpoint", trigger)
+    Every step is a micro-batch of its own; ``last`` comes after them. Returns what the job gave.
+    """
+    spark, files = rows.sparkSession, 2
+    for part in (range(steps // 2), range(steps // 2, steps)):
+        for k in part:
+            rows.where(step == k).repartition(files).write.mode("append").parquet(f"{root}/in")
+        if last is not None and k == steps - 1:
+            last.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
+        given = job(stream)
+        state.drain(append(given, root))
+    return spark.read.schema(given.schema).parquet(f"{root}/out")
 
 
 def run_latency(spark, folder):
+    """Frames in any order: each step holds frames of all times."""
     root = _prepare(spark, "latency")
-    state.drain(pair_latency(stream_table(spark, folder, "conversations").selectExpr(*X.FRAME_COLUMNS), root))
-    return state.outputs(spark, root).select("session", "seq", "latency_ms")
+    frames = X.frames(spark, folder).drop("text")
+    given = feed(frames, F.pmod(F.xxhash64("session", "seq"), F.lit(4)), 4, root, stateful.pair_latency)
+    return stateful.latest_revision(given, ["session", "seq"], "latency_ms")
 
 
-_SIGNATURE = "mcp STRING, snap INT, tool STRING, description STRING, input_schema STRING, d STRING, s STRING"
+def run_manifest(spark, folder):
+    """Tool lists whose rows are spread over all steps."""
+    root = _prepare(spark, "manifest")
+    tools = X.manifests(spark, folder)
+    position = F.row_number().over(Window.partitionBy("mcp", "snap").orderBy("tool")).cast("int")
+    listed = tools.withColumn("pos", position).join(tools.groupBy("mcp", "snap").agg(F.count("*").cast("int").alias("size")), ["mcp", "snap"])
+    step = F.pmod(F.xxhash64("mcp", "snap", "pos"), F.lit(4))
+    found = feed(listed, step, 4, root, lambda rows: stateful.manifest_drift(manifest.signed_rows(rows)))
+    return found.groupBy("mcp", F.col("snap").cast("bigint").alias("snap"), "type").agg(F.count("*").alias("n"))
 
 
-def manifest_step(batch: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Findings of new manifests against the baseline, which then moves to the newest ones."""
-    sigs = baseline.unionByName(manifest.signatures(batch).select(*baseline.columns))
-    newest = sigs.groupBy("mcp").agg(F.max("snap").alias("snap"))
-    return manifest.drift_findings(sigs), sigs.join(newest, ["mcp", "snap"]).select(*baseline.columns)
+#: Rows of the last two queries arrive up to two days late, a step takes eight days.
+_LATE, _STEP = "3 days", 8
 
 
-def watch_manifests(stream: DataFrame, root: str, trigger=None):
-    run = state.carrying(stream.sparkSession, root, _SIGNATURE, manifest_step)
-    return state.start(stream, run, f"{root}/checkpoint", trigger)
+def _arrival(ts: str, first_day: int) -> Column:
+    late = F.pmod(F.xxhash64("id"), F.lit(2))
+    return F.floor((F.floor(F.unix_seconds(ts) / 86400) + late - first_day) / _STEP)
 
 
-def run_manifest(spark, folder):
-    root = _prepare(spark, "manifest")
-    parts = stream_table(spark, folder, "part").selectExpr("*", "explode(array(0, 1, 2)) AS v")
-    state.drain(watch_manifests(parts.selectExpr(*X.MANIFEST_COLUMNS), root))
-    found = state.outputs(spark, root)
-    return found.groupBy("mcp", F.col("snap").cast("bigint").alias("snap"), "type").agg(F.count("*").alias("n"))
+def _span(rows: DataFrame) -> tuple[int, int]:
+    """First and last second of a table: one row."""
+    first, last = rows.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    return (0, 0) if first is None else (first, last)
+
+
+def _heartbeat(rows: DataFrame, ts: Column) -> DataFrame:
+    """A row of nothing but a time, by which the watermark reaches it."""
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else ts.cast("timestamp").alias("ts") for f in rows.schema]
+    return rows.sparkSession.range(1).select(*nothing)
+
+
+def run_alerts(spark, folder, tick_seconds: int = 43200):
+    """Alert transitions out of a stream that delivers rows late and out of order."""
+    root = _prepare(spark, "alerts")
+    rows = X.trail(spark, folder).where("type IN ('proxy.error', 'app.connector_recovered')")
+    signal = auth_signal(F.col("type") == "proxy.error").alias("signal")
+    rows = rows.select("id", F.col("session").alias("mcp"), "ts", signal).where("signal IS NOT NULL")
+    first, last = _span(rows)
+    steps = (last // 86400 + 1 - first // 86400) // _STEP + 1
+    end = (last // tick_seconds + 1) * tick_seconds + 3 * 86400
+    job = lambda s: stateful.alert_transitions(s, tick_seconds, first // tick_seconds, _LATE)
+    told = feed(rows, _arrival("ts", first // 86400), max(2, steps), root, job, _heartbeat(rows, F.timestamp_seconds(F.lit(end))))
+    return told.where("alert").select("mcp", "tick")
+
+
+def run_session_ends(spark, folder, silence_seconds: int = 2 * 86400):
+    """Closings of sessions by terminal marker and by silence, until a given time."""
+    root = _prepare(spark, "closings")
+    rows = X.trail(spark, folder).selectExpr("* EXCEPT (type)", *X.MARKER_COLUMNS)
+    rows = rows.select("id", "session", "ts", lifecycle.terminal_marker().alias("terminal"))
+    first, last = _span(rows)
+    steps = (last // 86400 + 1 - first // 86400) // _STEP + 1
+    end = F.to_timestamp(F.lit(X.LATER)) + F.make_dt_interval(F.lit(3))
+    job = lambda s: stateful.session_ends(s, silence_seconds, _LATE)
+    return feed(rows, _arrival("ts", first // 86400), max(2, steps), root, job, _heartbeat(rows, end))
 
 
 # --- keyed aggregates in update mode -----------------------------------------
@@ -146,20 +233,27 @@ def run_outcomes(spark, folder):
     return requests.join(known, assemble.CALL, "left").groupBy("mcp", "outcome").agg(F.count("*").alias("n"))
 
 
-def rolling_counts(stream: DataFrame, root: str, trigger=None, span: str = "24 hours", slide: str = "1 hour"):
-    """Flagged and critical rows of the last day, each hour. Late rows are counted too."""
-    counted = stream.groupBy(F.window("ts", span, slide)).agg(
+def hourly_counts(stream: DataFrame, root: str, trigger=None):
+    """Flagged and critical rows of each hour: one row of state an hour. Late rows are counted too."""
+    counted = stream.groupBy(F.window("ts", "1 hour")).agg(
         F.count_if(flagged()).alias("flagged"), F.count_if(F.col("severity") == "critical").alias("critical")
     )
     flat = counted.select(F.unix_seconds("window.end").alias("until_s"), "flagged", "critical")
     return _updates(flat, root, trigger)
 
 
+def rolling_counts(hours: DataFrame, span: int = 24) -> DataFrame:
+    """Counts of the last ``span`` hours at the end of every hour that has any, from hourly rows."""
+    ends = F.explode(F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda k: F.col("until_s") + 3600 * k))
+    spread = hours.select(ends.alias("until_s"), "flagged", "critical")
+    return spread.groupBy("until_s").agg(F.sum("flagged").alias("flagged"), F.sum("critical").alias("critical"))
+
+
 def run_counts(spark, folder):
     root = _prepare(spark, "counts")
     rows = stream_table(spark, folder, "events").selectExpr(*X.trail_columns("spark")).where("type = 'mcp.request'")
-    state.drain(rolling_counts(rows, root))
-    return state.newest(state.outputs(spark, root), ["until_s"])
+    state.drain(hourly_counts(rows, root))
+    return rolling_counts(state.newest(state.outputs(spark, root), ["until_s"]))
 
 
 def track_sessions(stream: DataFrame, root: str, trigger=None):

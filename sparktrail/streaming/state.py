@@ -1,44 +1,13 @@
-"""Micro-batch jobs that carry a small table from batch to batch."""
+"""Draining streams and reading what they left."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
-
-
-def start(stream: DataFrame, batch_fn, checkpoint: str, trigger: dict | None = None):
-    """Start a ``foreachBatch`` query; by default it drains what is there and stops."""
-    writer = stream.writeStream.foreachBatch(batch_fn).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
-
-
 def drain(query) -> None:
     query.awaitTermination()
 
 
-def carrying(spark: SparkSession, root: str, state_schema, step: Step):
-    """A ``foreachBatch`` function around ``step(batch, state) -> (output, state)``.
-
-    The state of batch n is a table of its own, and so is its output. A batch
-    replayed after a failure reads the same state and overwrites the same
-    tables, so results are exact and no executor holds anything that matters.
-    """
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if batch_id == 0:
-            state = spark.createDataFrame([], state_schema)
-        else:
-            state = spark.read.schema(state_schema).parquet(f"{root}/state/v{batch_id - 1}")
-        output, following = step(batch, state)
-        output.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
-        following.write.mode("overwrite").parquet(f"{root}/state/v{batch_id}")
-
-    return run
-
-
 def versioned(root: str):
     """A ``foreachBatch`` function that keeps the updates of each batch as a table.
 

@@ -9,7 +9,7 @@ from sparktrail.operators.filters import DetectionFilter, matches
 from sparktrail.plans import fixtures as X
 from sparktrail.session import materialize, scratch_path
 from sparktrail.sources import files
-from sparktrail.streaming import jobs, state
+from sparktrail.streaming import jobs, state, stateful
 
 
 def _plan(df):
@@ -151,8 +151,9 @@ def test_stream_latency_over_many_batches_equals_batch(spark, data):
         spark.createDataFrame(rows[k : k + 50], FRAME).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(FRAME).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
     root = scratch_path(spark, "latency")
-    state.drain(jobs.pair_latency(stream, root))
-    got = {(r.seq, r.latency_ms) for r in state.outputs(spark, root).collect()}
+    state.drain(jobs.append(stateful.pair_latency(stream), root))
+    given = stateful.latest_revision(state.outputs(spark, root), ["session", "seq"], "latency_ms")
+    got = {(r.seq, r.latency_ms) for r in given.collect()}
     batch = pairing.pair_responses(spark.createDataFrame(rows, FRAME)).where("kind = 'response' AND latency_ms IS NOT NULL")
     assert got == {(r.seq, r.latency_ms) for r in batch.collect()}
 
