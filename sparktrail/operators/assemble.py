@@ -120,7 +120,13 @@ def call_lookup(rows: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def assemble(trail: DataFrame, order: list[str], dedupe: bool = True) -> DataFrame:
+def _first_copies(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Requests and enrichments once per id. Rows without an id, and all others, are not copies of each other."""
+    shown = F.coalesce(F.col("type").isin("mcp.request", "mcp.detection_enrichment") & F.col("id").isNotNull(), F.lit(False))
+    return dedupe_first(rows.where(shown), order).unionByName(rows.where(~shown))
+
+
+def assemble(trail: DataFrame, order: list[str], dedupe: bool = True, pair: bool = True) -> DataFrame:
     """Silver rows to gold: requests and orphan enrichments with all they inherit.
 
     The same result as the single steps above, from one lookup and one join. The
@@ -128,7 +134,7 @@ def assemble(trail: DataFrame, order: list[str], dedupe: bool = True) -> DataFra
     """
     rows = rpc_key(trail)
     if dedupe:
-        rows = materialize(trail.sparkSession, dedupe_first(rows, order), "silver")
+        rows = materialize(trail.sparkSession, _first_copies(rows, order), "silver")
     joined = rows.where(F.col("type").isin("mcp.request", "mcp.detection_enrichment")).join(
         call_lookup(rows, order), CALL, "left"
     )
@@ -137,7 +143,7 @@ def assemble(trail: DataFrame, order: list[str], dedupe: bool = True) -> DataFra
     last = F.when(outbound, F.col(f"_last_{V.CLIENT_TO_SERVER}")).otherwise(F.col(f"_last_{V.SERVER_TO_CLIENT}"))
     asked = F.when(outbound, F.col(f"_asked_{V.CLIENT_TO_SERVER}")).otherwise(F.col(f"_asked_{V.SERVER_TO_CLIENT}"))
     kept = joined.withColumns({"_last": last, "_asked": asked}).where(
-        request | ~(F.col("_asked") & (F.col("id") == F.col("_last.id")))
+        request | ~F.coalesce(F.col("_asked") & (F.col("id") == F.col("_last.id")), F.lit(False))
     )
     lend = lambda own, lent: F.when(request, F.col(own)).otherwise(F.coalesce(own, lent))
     full = kept.select(
@@ -148,4 +154,4 @@ def assemble(trail: DataFrame, order: list[str], dedupe: bool = True) -> DataFra
         F.when(request, F.col("_last")).alias("enrichment"),
         F.when(request, F.col("_outcome")).alias("outcome"),
     )
-    return pair_sources(full)
+    return pair_sources(full) if pair else full

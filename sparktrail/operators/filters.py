@@ -84,6 +84,16 @@ def within_time(f: DetectionFilter, now: str | Column) -> Column:
     return ts >= now - F.make_dt_interval(secs=F.lit(WINDOWS[f.time_range]))
 
 
+def bounds(f: DetectionFilter, now: str | Column) -> tuple[Column | None, Column | None]:
+    """The earliest and the latest point in time that ``within_time`` lets through; None is open."""
+    if f.time_range == "all" or (f.time_range == "custom" and f.custom_range is None):
+        return None, None
+    if f.time_range == "custom":
+        return local_midnight(f.custom_range[0], f.timezone), local_midnight(f.custom_range[1], f.timezone, 1)
+    now = instant(now) if isinstance(now, str) else now
+    return now - F.make_dt_interval(secs=F.lit(WINDOWS[f.time_range])), None
+
+
 def base_filter(f: DetectionFilter, now) -> Column:
     """Source and time only: what facet menus are drawn from."""
     return within_time(f, now) & source_kind().isin(*f.sources)

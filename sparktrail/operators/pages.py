@@ -9,7 +9,7 @@ from sparktrail import values as V
 from sparktrail.operators.filters import (
     DetectionFilter, base_filter, flagged, matches, pre_severity, project, source_kind,
 )
-from sparktrail.operators.ordered import runs, time_chunk
+from sparktrail.operators.ordered import rank_in_order, runs, time_chunk
 from sparktrail.operators.trail import dedupe_first
 
 
@@ -67,6 +67,15 @@ def walk(gold: DataFrame, f: DetectionFilter, now, pages: int, limit: int = V.PA
     return dedupe_first(merged, ["ts_raw"])
 
 
+def numbered(gold: DataFrame, f: DetectionFilter, now, limit: int = V.PAGE_SIZE) -> DataFrame:
+    """Every page at once: all matching rows with ``page_no``, 0 for the newest ``limit`` rows."""
+    rows = slim(gold.where(matches(f, now)))
+    spans = [F.left("ts_raw", F.lit(n)) for n in (10, 13)]  # prefixes of the order: day, hour
+    ranked = rank_in_order(rows, spans, ["ts_raw", "id"], "_rank")
+    total = rows.agg(F.count("*").alias("n")).scalar()
+    return ranked.withColumn("page_no", F.floor((total - 1 - F.col("_rank")) / limit)).drop("_rank")
+
+
 def counts(gold: DataFrame, f: DetectionFilter, now) -> DataFrame:
     """Totals and the four severity buckets in one pass."""
     pre, severity = pre_severity(f, now), F.col("severity")

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from sparktrail import values as V
 from sparktrail.functions.text import byte_size, label_of, list_stamp, relative_time
-from sparktrail.operators import alerts, assemble, entity, pages, trail
+from sparktrail.operators import alerts, assemble, entity, pages, stored, trail
 from sparktrail.operators.filters import DetectionFilter, matches
 from sparktrail.plans import fixtures as X
-from sparktrail.session import materialize
+from sparktrail.session import scratch_path
 from sparktrail.sources.tables import spread, table
 
 ORDER = ["id"]
@@ -30,10 +30,43 @@ def _parts(spark, sf):
     return rows, rows.where("type = 'mcp.request'"), rows.where("type = 'mcp.detection_enrichment'")
 
 
-def gold(spark, sf):
-    """Assembled rows; the args summary is made for requests before assembly."""
+def _summarized(spark, sf):
+    """The args summary is made for requests before assembly."""
     rows = X.trail(spark, sf).withColumn("args_json", F.when(F.col("type") == "mcp.request", F.col("args_json")))
-    return assemble.assemble(trail.with_args_summary(rows), ORDER)
+    return trail.with_args_summary(rows)
+
+
+def gold(spark, sf):
+    """All rows assembled at once."""
+    return assemble.assemble(_summarized(spark, sf), ORDER)
+
+
+_STORED: dict[tuple, stored.StoredTrail] = {}
+
+
+def stored_trail(spark, sf):
+    """The trail of a folder as a stored table, taken in as two increments when it is first asked for.
+
+    It is kept as long as the application runs and the folder's files stay as they are.
+    """
+    files = spark.read.parquet(f"{sf}/events.parquet").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size")
+    state = files.distinct().agg(F.bit_xor(F.xxhash64("*")), F.count("*")).first()
+    key = (spark.sparkContext.applicationId, sf, *state)
+    if key not in _STORED:
+        trail_of = stored.StoredTrail(spark, scratch_path(spark, "trail"), ORDER)
+        rows = _summarized(spark, sf)
+        late = F.expr("event_id % 7 = 3") | (F.col("ts") >= F.to_timestamp(F.lit(X.NOW)) - F.expr("INTERVAL 2 DAYS"))
+        for name, part in (("first", rows.where(~late)), ("second", rows.where(late))):
+            trail_of.add(part, name)
+        _STORED[key] = trail_of
+    return _STORED[key]
+
+
+def stored_rows(spark, sf):
+    return stored_trail(spark, sf).rows().select(
+        "id", "type", "category", "severity", "outcome", "tool_name", "cwd", "tool_use_id", "paired_source",
+        F.col("enrichment.id").alias("enrichment_id"),
+    )
 
 
 def _scanned(lines):
@@ -95,41 +128,42 @@ def assemble_trail(spark, sf):
     )
 
 
-def _page_columns(df):
-    return df.select("id", "mcp", "type", "category", "severity", "source", "tool_name", "project", "outcome", "args_summary", "paired_source")
+def _page_columns(df, *more):
+    return df.select(*more, "id", "mcp", "type", "category", "severity", "source", "tool_name", "project", "outcome", "args_summary", "paired_source")
 
 
 def page_rows(spark, sf):
-    return _page_columns(pages.page(gold(spark, sf), FILTER, X.NOW))
+    return _page_columns(stored_trail(spark, sf).page(FILTER, X.NOW, V.PAGE_SIZE))
 
 
 def page_walk(spark, sf):
-    rows = materialize(spark, gold(spark, sf), "gold")
-    return _page_columns(pages.walk(rows, FILTER, X.NOW, pages=3, limit=100))
+    """Every page to the last one."""
+    rows = pages.numbered(stored_trail(spark, sf).within(FILTER, X.NOW), FILTER, X.NOW, limit=100)
+    return _page_columns(rows, "page_no")
 
 
 def page_counts(spark, sf):
-    return pages.counts(gold(spark, sf), FILTER, X.NOW)
+    return pages.counts(stored_trail(spark, sf).rows(), FILTER, X.NOW)
 
 
 def detail_by_id(spark, sf):
     """Full details of the rows on the head page; its ids are at most one page."""
-    rows = gold(spark, sf)
-    ids = pages.page(rows, FILTER, X.NOW).select("id")
-    return pages.detail(rows.join(F.broadcast(ids), "id", "left_semi")).drop("ts_raw")
+    trail_of = stored_trail(spark, sf)
+    return trail_of.details(trail_of.page(FILTER, X.NOW, V.PAGE_SIZE)).drop("ts_raw")
 
 
 def _filtered(f):
-    return lambda spark, sf: gold(spark, sf).where(matches(f, X.NOW)).select("id", "type")
+    return lambda spark, sf: stored_trail(spark, sf).within(f, X.NOW).where(matches(f, X.NOW)).select("id", "type")
 
 
 def facets(spark, sf):
     f = DetectionFilter(time_range="7d", sources=(V.HOOK_SOURCE,), tools=("tool_1", "retired_tool"))
-    return pages.facets(gold(spark, sf), f, X.NOW)
+    return pages.facets(stored_trail(spark, sf).within(f, X.NOW), f, X.NOW)
 
 
 def facet_sessions(spark, sf):
-    return pages.session_facet(gold(spark, sf), DetectionFilter(time_range="7d"), X.NOW)
+    f = DetectionFilter(time_range="7d")
+    return pages.session_facet(stored_trail(spark, sf).within(f, X.NOW), f, X.NOW)
 
 
 def tray_counts_24h(spark, sf):
@@ -226,6 +260,7 @@ QUERIES = {
     "paired_source": paired_source,
     "assemble_trail": assemble_trail,
     "page_rows": page_rows,
+    "stored_rows": stored_rows,
     "page_walk": page_walk,
     "page_counts": page_counts,
     "detail_by_id": detail_by_id,
@@ -321,7 +356,7 @@ ORACLES = {
       SELECT id, CASE WHEN source = 'claude-code' THEN 'wrapper' ELSE 'cc-hook' END AS paired_source FROM w WHERE k = 2""",
     "assemble_trail": _PARTS + "SELECT id, type, category, severity, outcome, tool_name, cwd, tool_use_id, paired_source, enrichment_id FROM gold",
     "page_rows": _PARTS + f"SELECT {_COLS} FROM gold WHERE {_PAGE} ORDER BY ts_raw DESC, id DESC LIMIT 200",
-    "page_walk": _PARTS + f"SELECT {_COLS} FROM gold WHERE {_PAGE} ORDER BY ts_raw DESC, id DESC LIMIT 300",
+    "page_walk": _PARTS + f"SELECT {_COLS}, (row_number() OVER (ORDER BY ts_raw DESC, id DESC) - 1) // 100 AS page_no FROM gold WHERE {_PAGE}",
     "page_counts": _PARTS
     + f"""SELECT count(*) AS total, count(*) FILTER (category <> 'tool_call_allowed' AND {_WEEK}) AS category_filtered_total, count(*) FILTER ({_PAGE}) AS total_matching, """
     + ", ".join(f"count(*) FILTER (category <> 'tool_call_allowed' AND {_WEEK} AND severity = '{s}') AS {s}" for s in V.SEVERITIES)
@@ -388,3 +423,4 @@ ORACLES = {
 }
 
 ORACLES["trail_tail"] = ORACLES["trail_scan"]
+ORACLES["stored_rows"] = ORACLES["assemble_trail"]
