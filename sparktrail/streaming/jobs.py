@@ -224,13 +224,52 @@ def track_outcomes(stream: DataFrame, root: str, trigger=None):
     return _updates(assemble.outcomes(assemble.rpc_key(stream), ["id"]), root, trigger)
 
 
+def answered(stream: DataFrame, lateness: str, horizon_hours: int) -> DataFrame:
+    """``id, session, rpc_key, mcp, response_id, outcome`` of each request and its responses within the horizon.
+
+    A stream-stream join: a request without a response comes out once, with nulls, when no
+    response can come any more. Both sides hold what is newer than the watermark and horizon.
+    """
+    rows = assemble.rpc_key(stream)
+    asked = rows.where("type = 'mcp.request'").select("id", "session", "rpc_key", "mcp", F.col("ts").alias("asked_at"))
+    failed = F.when(F.col("error").isNotNull(), "error").otherwise("ok").alias("outcome")
+    replies = rows.where("type = 'mcp.response' AND rpc_id_type IS NOT NULL").select(
+        F.col("session").alias("_session"), F.col("rpc_key").alias("_key"), F.col("id").alias("response_id"), F.col("ts").alias("answered_at"), failed
+    )
+    near = F.expr(f"answered_at >= asked_at AND answered_at <= asked_at + INTERVAL {int(horizon_hours)} HOURS")
+    same = (F.col("session") == F.col("_session")) & (F.col("rpc_key") == F.col("_key")) & near
+    joined = asked.withWatermark("asked_at", lateness).join(replies.withWatermark("answered_at", lateness), same, "leftOuter")
+    return joined.select("id", "session", "rpc_key", "mcp", "response_id", "outcome")
+
+
+def reconciled(streamed: DataFrame, trail: DataFrame) -> DataFrame:
+    """Requests with the outcome of the last response of their call, by what the stream gave and what it could not.
+
+    The trail is read in narrow columns: for responses outside the horizon, and for requests
+    that were later than the watermark. A call answered again later takes the later outcome.
+    """
+    known = streamed.where("id IS NOT NULL").groupBy("id", *assemble.CALL, "mcp").agg(F.max_by("outcome", "response_id").alias("outcome"))
+    rows = assemble.rpc_key(trail)
+    missed = rows.where("type = 'mcp.request'").join(known.select("id"), "id", "left_anti")
+    every = known.unionByName(missed.select("id", *assemble.CALL, "mcp", F.lit(None).cast("string").alias("outcome")))
+    last = assemble.outcomes(rows, ["id"]).withColumnRenamed("outcome", "_last")
+    return every.join(last, assemble.CALL, "left").withColumn("outcome", F.coalesce("_last", "outcome")).drop("_last")
+
+
 def run_outcomes(spark, folder):
-    """Requests with the outcome known so far: the streamed table joined at read."""
+    """Requests with their outcomes: out of the stream, then reconciled with the trail."""
     root = _prepare(spark, "outcomes")
-    state.drain(track_outcomes(stream_table(spark, folder, "events").selectExpr(*X.trail_columns("spark")), root))
-    known = state.newest(state.outputs(spark, root), assemble.CALL)
-    requests = assemble.rpc_key(X.trail(spark, folder).where("type = 'mcp.request'"))
-    return requests.join(known, assemble.CALL, "left").groupBy("mcp", "outcome").agg(F.count("*").alias("n"))
+    rows = X.trail(spark, folder).where("type IN ('mcp.request', 'mcp.response')")
+    rows = rows.select("id", "ts", "session", "mcp", "type", "rpc_id", "rpc_id_type", "error")
+    first, last = _span(rows)
+    steps = (last // 86400 + 1 - first // 86400) // _STEP + 1
+    beat = _heartbeat(rows, F.timestamp_seconds(F.lit(last + 10 * 86400)))
+    # Of either type and with a key, or the join would drop them below the watermark.
+    beat = beat.withColumns({"session": F.lit(""), "rpc_id_type": F.lit("string")})
+    both = [beat.withColumn("type", F.lit(t)) for t in ("mcp.request", "mcp.response")]
+    job = lambda s: answered(s, _LATE, 24)
+    streamed = feed(rows, _arrival("ts", first // 86400), max(2, steps), root, job, both[0].unionByName(both[1]))
+    return reconciled(streamed, rows).groupBy("mcp", "outcome").agg(F.count("*").alias("n"))
 
 
 def hourly_counts(stream: DataFrame, root: str, trigger=None):

@@ -100,3 +100,25 @@ def test_sessions_end_once(deliver):
         rng.shuffle(rows)
         got = deliver("session string, at_s bigint, terminal boolean", [rows[:5], rows[5:], [(None, 86_400 + 400, None)]], job)
         assert sorted((r.session, r.last_ms, r.n, r.reason) for r in got.collect()) == want
+
+
+def test_outcomes_come_out_of_the_stream(deliver, spark):
+    day = 86400
+    rows = [
+        ("q1", 10, "s", "m", "mcp.request", "1", "string", None),
+        ("q2", 20, "s", "m", "mcp.request", "2", "string", None),
+        ("q3", 30, "s", "m", "mcp.request", "3", "string", None),
+        ("r1", 15, "s", "m", "mcp.response", "1", "string", None),
+        ("r2", 25, "s", "m", "mcp.response", "1", "string", "boom"),
+        ("r3", 30 + 5 * day, "s", "m", "mcp.response", "3", "string", "late"),  # beyond the horizon
+    ]
+    beats = [(None, 20 * day, "", None, t, None, "string", None) for t in ("mcp.request", "mcp.response")]
+    schema = "id string, at_s bigint, session string, mcp string, type string, rpc_id string, rpc_id_type string, error string"
+    timed = lambda s: s.withColumn("ts", F.timestamp_seconds("at_s"))
+    got = deliver(schema, [rows[3:4] + rows[:2], rows[2:3], rows[4:], beats], lambda s: jobs.answered(timed(s), "1 day", 24))
+    want = [("q1", "r1", "ok"), ("q1", "r2", "error"), ("q2", None, None), ("q3", None, None)]
+    assert sorted(str((r.id, r.response_id, r.outcome)) for r in got.where("id IS NOT NULL").collect()) == sorted(map(str, want))
+    final = jobs.reconciled(got, timed(spark.createDataFrame(rows, schema)))
+    assert sorted(str((r.id, r.outcome)) for r in final.collect()) == sorted(map(str, [("q1", "error"), ("q2", None), ("q3", "error")]))
+    late = jobs.reconciled(got.where("id <> 'q2'"), timed(spark.createDataFrame(rows, schema)))
+    assert late.count() == 3
