@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparktrail import values as V
 from sparktrail.functions import ulid
-from sparktrail.operators import lifecycle, trail
+from sparktrail.operators import daystore, lifecycle, trail
 from sparktrail.operators.filters import DetectionFilter, matches
 from sparktrail.plans import fixtures as X
 from sparktrail.plans import trail as trail_plans
@@ -88,6 +88,23 @@ def retention_survivors(spark, sf):
     return lifecycle.survivors(_lines(spark, sf), purged).groupBy("session").agg(F.count("*").alias("n"))
 
 
+def retention_days(spark, sf):
+    """Compact some sessions, then all, then all again; purge; clear; and list and count what is left."""
+    sessions = X.session_files(spark, sf)
+    candidates = lifecycle.compact_candidates(sessions, X.LATER).select("session", "ulid", "day_ms", "day_file")
+    incoming = _lines(spark, sf).join(candidates, "session").select("session", "ulid", "line_no", "id", "raw", "day_ms", "day_file")
+    days = daystore.DayStore(spark, scratch_path(spark, "daystore"))
+    for part in (incoming.where(F.pmod(F.xxhash64("session"), F.lit(2)) == 0), incoming, incoming):
+        days.compact(part)
+    days.purge(lifecycle.purgeable(sessions, "30d", X.RETENTION_NOW))
+    days.clear()
+    listed = days.listing().groupBy("day_file").agg(F.sum("n_lines").alias("n_listed"), F.count("*").alias("n_sessions"))
+    found = days.lines().groupBy("day_file").agg(
+        F.count("*").alias("n_lines"), F.count_if(F.startswith("raw", F.lit("{broken"))).alias("n_broken")
+    )
+    return listed.join(found, "day_file", "full_outer")
+
+
 def retention_estimate(spark, sf):
     sessions = X.session_files(spark, sf)
     modes = ["30d", "90d", "365d", "never", "bogus"]
@@ -126,6 +143,7 @@ QUERIES = {
     "compact_idempotent": compact_idempotent,
     "retention_sweep": retention_sweep,
     "retention_survivors": retention_survivors,
+    "retention_days": retention_days,
     "retention_estimate": retention_estimate,
     "export_jsonl": export_jsonl,
     "export_csv": export_csv,
@@ -165,6 +183,10 @@ ORACLES = {
     "retention_survivors": _F
     + f", p AS (SELECT session FROM u WHERE greatest(ms, epoch_us(last_ts) // 1000) < {_OLD})"
     + " SELECT 's' || user_id AS session, count(*) AS n FROM events WHERE 's' || user_id NOT IN (SELECT session FROM p) GROUP BY ALL",
+    "retention_days": _CAND
+    + f""", p AS (SELECT session FROM u WHERE greatest(ms, epoch_us(last_ts) // 1000) < {_OLD})
+      SELECT day_file, count(*) AS n_listed, count(DISTINCT session) AS n_sessions, count(*) AS n_lines, count(*) FILTER (broken) AS n_broken
+      FROM l JOIN c USING (session) WHERE session NOT IN (SELECT session FROM p) GROUP BY day_file""",
     "retention_estimate": _F
     + " "
     + " UNION ALL ".join(
