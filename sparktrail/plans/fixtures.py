@@ -415,3 +415,36 @@ def session_files_sql() -> str:
     return select_sql(
         session_columns("duckdb"), f"(SELECT {SESSION_GROUPS['duckdb']} FROM events GROUP BY user_id)"
     )
+
+
+#: A credential of its own for every event, planted where the event's number says.
+PLANTED_SECRET = "'sk-ant-api03-' || md5(CAST(event_id AS STRING)) || substr(md5(CAST(event_id + 1 AS STRING)), 1, 8)"
+_TEXT_OF = "(CASE WHEN event_id % 4 = 0 THEN ' key ' || {s} || ' end' ELSE '' END)".format(s=PLANTED_SECRET)
+_WIRE = "'{\"jsonrpc\":\"2.0\",\"id\":' || event_id || '"
+
+#: A request and its response for every event; some requests are broken, some calls fail.
+WIRE_COLUMNS = [
+    "'w' || user_id AS session",
+    "2 * event_id + part AS seq",
+    "1704067200000 + event_id * 1000 + part * 10 AS ts_ms",
+    "'m' || (event_id % 7) AS mcp",
+    "CASE part WHEN 0 THEN 'client_to_server' ELSE 'server_to_client' END AS direction",
+    "'stdio' AS transport",
+    f"CASE WHEN part = 0 AND event_id % 17 = 0 THEN '{{broken' || {_TEXT_OF}"
+    f" WHEN part = 0 THEN {_WIRE},\"method\":\"' || CASE WHEN event_id % 6 = 0 THEN 'resources/read' ELSE 'tools/call' END"
+    f" || '\",\"params\":{{\"name\":\"echo\",\"arguments\":{{\"command\":\"run ' || event_id || {_TEXT_OF} || '\"}}}}}}'"
+    f" WHEN event_id % 5 = 0 THEN {_WIRE},\"error\":{{\"code\":1,\"message\":\"failed ' || event_id || {_TEXT_OF} || '\"}}}}'"
+    f" ELSE {_WIRE},\"result\":{{\"content\":[{{\"type\":\"text\",\"text\":\"ok ' || event_id || {_TEXT_OF} || '\"}}]}}}}' END AS line",
+]
+
+#: Hook payloads with the same credentials in input, answer and error.
+SECRET_HOOK_COLUMNS = [
+    "event_id AS spool_no",
+    "CAST(ts AS TIMESTAMP) AS capture_ts",
+    "CASE WHEN event_id % 17 = 0 THEN '{broken' || " + _TEXT_OF + " ELSE "
+    "'{\"session_id\":\"u' || user_id || '\",\"cwd\":\"/w/p' || (event_id % 5) || '\",\"hook_event_name\":\"' || "
+    "CASE event_id % 9 WHEN 0 THEN 'SessionStart' WHEN 1 THEN 'PostToolUseFailure' ELSE 'PostToolUse' END || "
+    "'\",\"tool_name\":\"Bash\",\"tool_input\":{\"command\":\"echo ' || event_id || " + _TEXT_OF + " || '\"},"
+    "\"tool_response\":{\"stdout\":\"ok ' || event_id || " + _TEXT_OF + " || '\",\"stderr\":\"\"},\"error\":\"failed ' || event_id || " + _TEXT_OF
+    + " || '\",\"tool_use_id\":\"t' || event_id || '\"}' END AS raw",
+]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparktrail.functions.masking import fingerprints_in
 from sparktrail.functions.text import json_quote, split_tool_name
-from sparktrail.operators import chain, frames, hooks, pairing, snapshots, truncation
+from sparktrail.operators import capture, chain, frames, hooks, pairing, snapshots, truncation
 from sparktrail.plans import fixtures as X
+from sparktrail.plans import oracle_text as O
 from sparktrail.sources.tables import spread, table
 
 
@@ -99,6 +101,21 @@ def wire_trail(spark, sf):
     return rows.groupBy("type", "category", "severity").agg(F.count("*").alias("n"))
 
 
+def captured_trail(spark, sf):
+    """Both sources through the whole write path; what is masked where, and that nothing leaks."""
+    events = spread(table(spark, sf, "events").select("event_id", "user_id", "ts"))
+    lines = events.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1)))).selectExpr(*X.WIRE_COLUMNS)
+    rows = capture.capture(lines, events.selectExpr(*X.SECRET_HOOK_COLUMNS), X.HMAC_KEY)
+    kept = F.concat_ws("\n", *capture.KEPT)
+    marks = fingerprints_in(kept)
+    return rows.select(
+        "id", "type", "category", "severity", "method", "source",
+        F.size(marks).cast("bigint").alias("n_masked"),
+        F.get(marks, F.lit(0)).alias("fp"),
+        kept.rlike("sk-ant-api03-[0-9a-f]").alias("leaked"),
+    )
+
+
 def stream_latency(spark, sf):
     from sparktrail.streaming import jobs
 
@@ -117,6 +134,7 @@ QUERIES = {
     "latency_stats": latency_stats,
     "latency_quintiles": latency_quintiles,
     "wire_trail": wire_trail,
+    "captured_trail": captured_trail,
     "stream_latency": stream_latency,
 }
 
@@ -213,3 +231,20 @@ def _oracles():
 
 
 ORACLES = _oracles()
+ORACLES["captured_trail"] = f"""
+WITH e AS (SELECT event_id AS e, 'w' || user_id AS session, event_id % 4 = 0 AS p, event_id % 17 = 0 AS broken,
+    CASE WHEN event_id % 6 = 0 THEN 'resources/read' ELSE 'tools/call' END AS asked, {O._fp(X.PLANTED_SECRET)} AS secret_fp FROM events),
+  w AS (SELECT *, sha256('wire:' || session || ':' || (2 * e)) AS q, sha256('wire:' || session || ':' || (2 * e + 1)) AS r,
+    sha256('hook:' || e || ':0') AS hq, sha256('hook:' || e || ':1') AS hr FROM e),
+  rows AS (
+    SELECT q AS base, CASE WHEN broken THEN 'mcp.parse_error' ELSE 'mcp.request' END AS type, NOT broken AS asks,
+      CASE WHEN NOT broken THEN asked END AS method, NULL AS source, 1 AS n, p, secret_fp FROM w
+    UNION ALL SELECT r, 'mcp.response', false, CASE WHEN NOT broken THEN asked END, NULL, 1, p, secret_fp FROM w
+    UNION ALL SELECT r, 'mcp.detection_enrichment', true, asked, NULL, 0, p, secret_fp FROM w WHERE p AND NOT broken AND asked = 'tools/call' AND e % 5 <> 0
+    UNION ALL SELECT hq, 'cc.event', false, NULL, 'claude-code', CASE WHEN broken THEN 1 ELSE 3 END, p, secret_fp FROM w WHERE broken OR e % 9 = 0
+    UNION ALL SELECT hq, 'mcp.request', true, 'tools/call', 'claude-code', 1, p, secret_fp FROM w WHERE NOT broken AND e % 9 <> 0
+    UNION ALL SELECT hr, 'mcp.response', false, NULL, 'claude-code', CASE WHEN e % 9 = 1 THEN 1 ELSE 2 END, p, secret_fp FROM w WHERE NOT broken AND e % 9 <> 0
+    UNION ALL SELECT hr, 'mcp.detection_enrichment', true, NULL, 'claude-code', 0, p, secret_fp FROM w WHERE p AND NOT broken AND e % 9 <> 0)
+SELECT sha256(base || ':' || type || ':0') AS id, type, CASE WHEN asks THEN CASE WHEN p THEN 'credential_detected' ELSE 'tool_call_allowed' END END AS category,
+  CASE WHEN asks THEN CASE WHEN p THEN 'critical' ELSE 'low' END END AS severity, method, source, CAST(CASE WHEN p THEN n ELSE 0 END AS BIGINT) AS n_masked,
+  CASE WHEN p AND n > 0 THEN secret_fp END AS fp, false AS leaked FROM rows"""
