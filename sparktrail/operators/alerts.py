@@ -9,6 +9,11 @@ from sparktrail import values as V
 from sparktrail.operators.ordered import last_before, time_chunk
 
 
+def oauth_failure() -> Column:
+    """A proxy error that is a failed authorization; other kinds of errors are no auth failures."""
+    return F.coalesce((F.col("type") == "proxy.error") & (F.col("kind") == "oauth_failed"), F.lit(False))
+
+
 def auth_signal(failure: Column, recovery_type: str = "app.connector_recovered") -> Column:
     """fail / live / recovery of a trail row; hook rows say nothing about a connector."""
     hook = F.coalesce(F.col("source") == V.HOOK_SOURCE, F.lit(False))

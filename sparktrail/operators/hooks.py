@@ -94,8 +94,11 @@ def response_scan_text(
 
 
 def trail_session(session_id: Column) -> Column:
-    """A stable trail session for an external session id; unknown ones share one."""
-    return F.substr(F.sha2(F.coalesce(session_id, F.lit("__unknown__")), 256), F.lit(1), F.lit(26))
+    """A stable trail session for an external session id; unknown ones share one.
+
+    32 hex digits: no ULID, from which retention would read a day that is none.
+    """
+    return F.substr(F.sha2(F.coalesce(session_id, F.lit("__unknown__")), 256), F.lit(1), F.lit(32))
 
 
 def synthesize(hooks: DataFrame, spool_key: str = "spool_no", capture_ts: str = "capture_ts") -> DataFrame:

@@ -152,6 +152,7 @@ def trail_columns(dialect: str) -> list[str]:
         f"CASE WHEN {call} AND event_id % 2 = 0 THEN 't' || {jk} || '_' || (user_id % 10) END AS tool_use_id",
         "'{\"command\":\"run   ' || event_id || '\",\"path\":\"/w/p1/f' || user_id || '\"}' AS args_json",
         f"CASE WHEN {call} THEN 'tools/call' END AS method",
+        "CASE WHEN event_id % 4 = 0 THEN CASE WHEN event_id % 20 = 0 THEN 'upstream_closed' ELSE 'oauth_failed' END END AS kind",
         "'message ' || event_id AS message",
         "CAST(event_id % 4 AS BIGINT) AS n_findings",
         "value",

@@ -88,6 +88,14 @@ def retention_survivors(spark, sf):
     return lifecycle.survivors(_lines(spark, sf), purged).groupBy("session").agg(F.count("*").alias("n"))
 
 
+def trail_size(spark, sf):
+    """Bytes and files of a written trail, from its listing."""
+    path = scratch_path(spark, "size")
+    lines = table(spark, sf, "events").selectExpr(*X.raw_trail_columns("spark")).select(F.col("raw").alias("value"))
+    lines.repartition(4).write.text(path)
+    return files.folder_size(spark, path, "*.txt")
+
+
 def retention_days(spark, sf):
     """Compact some sessions, then all, then all again; purge; clear; and list and count what is left."""
     sessions = X.session_files(spark, sf)
@@ -153,6 +161,8 @@ QUERIES = {
     "stream_sessions": lambda s, sf: jobs.run_sessions(s, sf),
     "stream_session_ends": lambda s, sf: jobs.run_session_ends(s, sf),
     "stream_alerts": lambda s, sf: jobs.run_alerts(s, sf),
+    "stream_scores": lambda s, sf: jobs.run_scores(s, sf),
+    "trail_size": trail_size,
 }
 
 _T = f"WITH t AS MATERIALIZED (SELECT *, rpc_id_type || ':' || coalesce(rpc_id, '') AS rk FROM ({X.select_sql(X.trail_columns('duckdb'), 'events')}))"
@@ -225,4 +235,7 @@ ORACLES = {
       SELECT session, last_ms, n, CASE WHEN marked THEN 'marker' ELSE 'silence' END AS reason FROM s
       WHERE marked OR followed OR {_MS(X.LATER)} - last_ms > 172800000""",
     "stream_alerts": trail_plans.ORACLES["alert_transitions"],
+    "stream_scores": """WITH d AS (SELECT 'd' || doc_id AS id, len(list_filter(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{2,}'), lambda w: length(w) > 5)) AS n FROM documents)
+      SELECT id, CASE WHEN n > 0 THEN 'pii_detected' END AS category, CASE WHEN n > 0 THEN 'low' END AS severity, n AS n_findings FROM d""",
+    "trail_size": f"WITH l AS ({X.select_sql(X.raw_trail_columns('duckdb'), 'events')}) SELECT CAST(sum(strlen(raw) + 1) AS BIGINT) AS total_bytes, 4 AS file_count FROM l",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sparktrail.functions.text import json_quote
 from sparktrail.operators import hooks, manifest, snapshots
 from sparktrail.plans import fixtures as X
 
@@ -44,6 +45,17 @@ def manifest_drift(spark, sf):
     return findings.select("mcp", F.col("snap").cast("bigint").alias("snap"), "location", "type")
 
 
+def manifest_from_results(spark, sf):
+    """Drift between tool lists as their connectors answer them: one result per connector and snapshot."""
+    text = lambda c: json_quote(F.col(c))
+    tool = F.concat(F.lit('{"name":'), text("tool"), F.lit(',"description":'), text("description"), F.lit(',"inputSchema":'), F.col("input_schema"), F.lit("}"))
+    # A list is one message, so it fits one row.
+    listed = X.manifests(spark, sf).groupBy("mcp", "snap").agg(F.array_join(F.array_sort(F.collect_list(tool)), ",").alias("_tools"))
+    results = listed.select("mcp", "snap", F.concat(F.lit('{"tools":['), F.col("_tools"), F.lit(',{"name":7},"none"]}')).alias("result"))
+    findings = manifest.drift_findings(manifest.signatures(manifest.extract_tools(results, "result", "mcp", "snap")))
+    return findings.select("mcp", F.col("snap").cast("bigint").alias("snap"), "location", "type")
+
+
 def manifest_severity(spark, sf):
     findings = manifest.drift_findings(manifest.signatures(X.manifests(spark, sf)))
     return manifest.drift_detections(findings).withColumn("snap", F.col("snap").cast("bigint"))
@@ -105,6 +117,7 @@ QUERIES = {
     "stream_hooks": stream_hooks,
     "manifest_hash": manifest_hash,
     "manifest_drift": manifest_drift,
+    "manifest_from_results": manifest_from_results,
     "manifest_severity": manifest_severity,
     "tool_surface": tool_surface,
     "latest_tool_count": latest_tool_count,
@@ -195,6 +208,7 @@ ORACLES = {
     + ", ".join(_LIMB.format(a=1 + 15 * k) for k in range(4))
     + ")) AS hash FROM x GROUP BY ALL",
     "manifest_drift": _DRIFT + "SELECT mcp, CAST(snap AS BIGINT) AS snap, location, type FROM f",
+    "manifest_from_results": _DRIFT + "SELECT mcp, CAST(snap AS BIGINT) AS snap, location, type FROM f",
     "manifest_severity": _DRIFT
     + """SELECT mcp, CAST(snap AS BIGINT) AS snap, CASE WHEN bool_or(type IN ('surface_added', 'injection_marker')) THEN 'high' ELSE 'medium' END AS severity,
       count(*) AS n_findings FROM f GROUP BY ALL""",

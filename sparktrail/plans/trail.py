@@ -186,7 +186,7 @@ def session_blocks(spark, sf):
 
 def _signals(spark, sf):
     rows = X.trail(spark, sf)
-    return rows.select("id", "mcp", "ts", "ts_raw", "message", alerts.auth_signal(F.col("type") == "proxy.error").alias("signal"))
+    return rows.select("id", "mcp", "ts", "ts_raw", "message", alerts.auth_signal(alerts.oauth_failure()).alias("signal"))
 
 
 def auth_alerts(spark, sf):
@@ -197,7 +197,7 @@ def alert_transitions(spark, sf):
     """Half-day ticks; recoveries and traffic clear, new failures notify."""
     rows = X.trail(spark, sf).where("type IN ('proxy.error', 'app.connector_recovered')")
     rows = rows.withColumn("mcp", F.col("session"))
-    signal = alerts.auth_signal(F.col("type") == "proxy.error").alias("signal")
+    signal = alerts.auth_signal(alerts.oauth_failure()).alias("signal")
     states = alerts.alert_states(rows.select("id", "mcp", "ts", "ts_raw", signal), 43200)
     return alerts.alert_transitions(states)
 
@@ -205,7 +205,7 @@ def alert_transitions(spark, sf):
 def token_asof(spark, sf):
     """Failures after the last recovery of their session, standing in for token events."""
     rows = X.trail(spark, sf)
-    return alerts.token_asof(rows, F.col("type") == "proxy.error", F.col("type") == "app.connector_recovered")
+    return alerts.token_asof(rows, alerts.oauth_failure(), F.col("type") == "app.connector_recovered")
 
 
 def drop_accounting(spark, sf):
@@ -392,12 +392,12 @@ ORACLES = {
         arg_max(coalesce(regexp_extract(cwd, '([^/]+)$', 1), mcp), rn) || ' · started ' || strftime(min(ts), '%d %b, %H:%M') AS label
       FROM b WHERE cc_session IS NOT NULL GROUP BY blk""",
     "auth_alerts": _T
-    + f""", s AS (SELECT *, CASE WHEN type = 'proxy.error' THEN 'fail' WHEN type LIKE 'mcp.%' OR type = 'app.connector_recovered' THEN 'later' END AS k FROM t WHERE source IS NULL),
+    + f""", s AS (SELECT *, CASE WHEN type = 'proxy.error' AND kind = 'oauth_failed' THEN 'fail' WHEN type LIKE 'mcp.%' OR type = 'app.connector_recovered' THEN 'later' END AS k FROM t WHERE source IS NULL),
       a AS (SELECT mcp, max(ts_raw) FILTER (k = 'fail') AS last_failure, arg_max(message, id) FILTER (k = 'fail') AS message, max(ts_raw) FILTER (k = 'later') AS later FROM s GROUP BY mcp)
       SELECT mcp, last_failure, message FROM a WHERE CAST(last_failure AS TIMESTAMP) >= {_NOW} - INTERVAL 1 DAY AND NOT coalesce(last_failure < later, false)""",
     "alert_transitions": _T
     + """, s AS (SELECT session AS mcp, epoch_us(ts) // 43200000000 AS tick, ts_raw, type = 'proxy.error' AS bad FROM t
-        WHERE source IS NULL AND type IN ('proxy.error', 'app.connector_recovered')),
+        WHERE source IS NULL AND (type = 'app.connector_recovered' OR (type = 'proxy.error' AND kind = 'oauth_failed'))),
       g AS (SELECT mcp, unnest(range(min(tick), (SELECT max(tick) FROM s) + 1)) AS tick FROM s GROUP BY mcp),
       st AS (SELECT g.mcp, g.tick, max(s.ts_raw) FILTER (bad) AS f, max(s.ts_raw) FILTER (NOT bad) AS l FROM g JOIN s ON s.mcp = g.mcp AND s.tick <= g.tick GROUP BY ALL),
       ac AS (SELECT mcp, tick, coalesce(CAST(f AS TIMESTAMP) >= make_timestamp((tick + 1) * 43200000000) - INTERVAL 1 DAY AND NOT coalesce(f < l, false), false) AS active FROM st),
@@ -406,7 +406,7 @@ ORACLES = {
     "token_asof": _T
     + """, w AS (SELECT *, last_value(CASE WHEN type = 'app.connector_recovered' THEN struct_pack(k := type, at := ts) END IGNORE NULLS)
         OVER (PARTITION BY session ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tk FROM t)
-      SELECT id, tk.k AS last_token_event, epoch_us(ts) // 1000 - epoch_us(tk.at) // 1000 AS ago_ms FROM w WHERE type = 'proxy.error'""",
+      SELECT id, tk.k AS last_token_event, epoch_us(ts) // 1000 - epoch_us(tk.at) // 1000 AS ago_ms FROM w WHERE type = 'proxy.error' AND kind = 'oauth_failed'""",
     "drop_accounting": _T
     + "SELECT type, CASE event_id % 3 WHEN 0 THEN 'queue_full' WHEN 1 THEN 'worker_dead' ELSE 'error' END AS reason, count(*) AS n FROM t WHERE type = 'proxy.ner_dropped' GROUP BY ALL",
     "last_purge_marker": _T + "SELECT id, session, mcp, message FROM t WHERE type = 'app.retention_purged' ORDER BY ts_raw DESC, id DESC LIMIT 1",

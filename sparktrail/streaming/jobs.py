@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparktrail.operators import assemble, hooks, lifecycle, manifest
-from sparktrail.operators.alerts import auth_signal
+from sparktrail.operators import assemble, entity, hooks, lifecycle, manifest
+from sparktrail.operators.alerts import auth_signal, oauth_failure
 from sparktrail.operators.filters import flagged
 from sparktrail.operators.findings import mask_persisted
 from sparktrail.plans import fixtures as X
@@ -164,6 +164,37 @@ def run_manifest(spark, folder):
     return found.groupBy("mcp", F.col("snap").cast("bigint").alias("snap"), "type").agg(F.count("*").alias("n"))
 
 
+def score_texts(stream: DataFrame, text: str, load) -> DataFrame:
+    """Enrichments of a stream's texts by a scorer, off the path that records the rows.
+
+    A query of its own with its own checkpoint: how far it lags behind delays nobody, the
+    source's files or bytes per trigger bound what it takes at once, and nothing is dropped.
+    """
+    return entity.enrich_requests(stream, text, load).drop(text)
+
+
+def capital_scorer():
+    """A deterministic scorer: capitalized words, the longer the surer."""
+    import re
+
+    word = re.compile("[A-Z][a-z]{2,}")
+
+    def score(texts: list[str]) -> list[list[dict]]:
+        return [[{"entity_group": "PER", "score": min(len(w), 10) / 10, "word": w} for w in word.findall(t)] for t in texts]
+
+    return score
+
+
+def run_scores(spark, folder):
+    """Requests whose texts a scorer enriches on a stream of its own, stopped once and started again."""
+    root = _prepare(spark, "scores")
+    texts = table(spark, folder, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    given = feed(texts, F.pmod(F.xxhash64("id"), F.lit(4)), 4, root, lambda s: score_texts(s, "text", capital_scorer))
+    enriched = given.select("id", "category", "severity", F.size("findings").cast("bigint").alias("n_findings"))
+    # They meet their requests by id, as enrichments do by their call.
+    return texts.select("id").join(enriched, "id", "left").withColumn("n_findings", F.coalesce("n_findings", F.lit(0).cast("bigint")))
+
+
 #: Rows of the last two queries arrive up to two days late, a step takes eight days.
 _LATE, _STEP = "3 days", 8
 
@@ -189,7 +220,7 @@ def run_alerts(spark, folder, tick_seconds: int = 43200):
     """Alert transitions out of a stream that delivers rows late and out of order."""
     root = _prepare(spark, "alerts")
     rows = X.trail(spark, folder).where("type IN ('proxy.error', 'app.connector_recovered')")
-    signal = auth_signal(F.col("type") == "proxy.error").alias("signal")
+    signal = auth_signal(oauth_failure()).alias("signal")
     rows = rows.select("id", F.col("session").alias("mcp"), "ts", signal).where("signal IS NOT NULL")
     first, last = _span(rows)
     steps = (last // 86400 + 1 - first // 86400) // _STEP + 1
