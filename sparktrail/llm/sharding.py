@@ -78,7 +78,8 @@ def shard_names(n: int) -> list[str]:
 
 
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
-    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "source", "n_chars")
+    """Whole rows of ``documents`` with their slot and shard."""
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
     return place(documents, F.col("doc_id"), shard_names(N_SHARDS))
 
 
@@ -98,8 +99,8 @@ fill AS (
                       lambda s: taken[s + 1] = -1)[1] AS slot
         FROM fill JOIN shards ON shard = turn % {N_SHARDS} WHERE turn < {TABLE_SIZE})),
 slots AS (SELECT won AS slot, (turn - 1) % {N_SHARDS} AS shard FROM fill WHERE turn > 0)
-SELECT doc_id, source, n_chars, CAST(slot AS INTEGER) AS slot, CAST(shard AS INTEGER) AS shard
-FROM (SELECT doc_id, source, n_chars,
-        ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT % {TABLE_SIZE} AS slot FROM documents)
+SELECT d.* EXCLUDE (slot), CAST(slot AS INTEGER) AS slot, CAST(shard AS INTEGER) AS shard
+FROM (SELECT *,
+        ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT % {TABLE_SIZE} AS slot FROM documents) d
 JOIN slots USING (slot)
 """
