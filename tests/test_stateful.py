@@ -70,7 +70,7 @@ def test_a_list_in_two_batches_is_one_list(deliver):
     more = [("m", 2, 3, 1, "t1", "old", schema), ("m", 2, 3, 2, "t3", "old", None), ("m", 2, 3, 3, "t1", "last", '{"properties":{"b":{}}}')]
     want = [(1, "t2", "description_changed"), (2, "t1", "description_changed"), (2, "t1", "surface_added"), (2, "t2", "tool_removed"), (2, "t3", "tool_added")]
     job = lambda s: stateful.manifest_drift(manifest.signed_rows(s))
-    for batches in ([rows[:3], rows[3:], more], [more, rows[2:], rows[:1], rows[1:2]], [more[1:], [*more[:1], *rows]]):
+    for batches in ([rows[:3], rows[3:], more], [more[1:], [*more[:1], *rows[2:]], rows[:2]]):
         got = deliver(TOOL, batches, job)
         assert sorted((r.snap, r.location, r.type) for r in got.collect()) == want
 
@@ -96,10 +96,9 @@ def test_sessions_end_once(deliver):
     rows = [("s", t, t in (50, 51)) for t in (1, 2, 30, 50, 51, 60, 61)] + [("r", t, False) for t in (5, 100, 104)] + [("q", 395, False)]
     job = lambda s: stateful.session_ends(s.withColumn("ts", F.timestamp_seconds("at_s")), 20, "1 day")
     want = [("r", 5000, 1, "silence"), ("r", 104_000, 2, "silence"), ("s", 2000, 2, "silence"), ("s", 50_000, 2, "marker"), ("s", 51_000, 1, "marker"), ("s", 61_000, 2, "silence")]
-    for _ in range(2):
-        rng.shuffle(rows)
-        got = deliver("session string, at_s bigint, terminal boolean", [rows[:5], rows[5:], [(None, 86_400 + 400, None)]], job)
-        assert sorted((r.session, r.last_ms, r.n, r.reason) for r in got.collect()) == want
+    rng.shuffle(rows)
+    got = deliver("session string, at_s bigint, terminal boolean", [rows[:5], rows[5:], [(None, 86_400 + 400, None)]], job)
+    assert sorted((r.session, r.last_ms, r.n, r.reason) for r in got.collect()) == want
 
 
 def test_outcomes_come_out_of_the_stream(deliver, spark):
