@@ -31,6 +31,14 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def row_hash(text: Column) -> Column:
     """Tells rows apart that share an id but not a text. Null and empty differ."""
     return F.xxhash64(text, text.isNull())

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktrail.llm.common import ascii_lower, bounded, only, pieces, row_hash
+from sparktrail.llm.common import ascii_lower, bounded, only, pieces, row_hash, unused
 from sparktrail.session import materialize
 
 NGRAM = 13
@@ -149,11 +149,17 @@ def contamination(documents: DataFrame, benchmark: DataFrame, broadcast_windows:
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``documents`` without the contaminated ones, columns unchanged."""
+    """``documents`` without the contaminated ones, columns unchanged.
+
+    Repeated rows go or stay together, rows that share an id are judged by their own
+    text, also with a null id; null and empty texts stay. Any extra column is kept, empty
+    tables give what is left: nothing, or all documents.
+    """
     bad = hit_texts(documents, benchmark).filter(_is_contaminated(F.col("n_hit"))).select("doc_id", "text_hash")
-    named = documents.withColumn("_text_hash", row_hash(F.col("text")))
-    same = named["doc_id"].eqNullSafe(bad["doc_id"]) & (named["_text_hash"] == bad["text_hash"])
-    return named.join(bad.hint("shuffle_hash"), same, "left_anti").drop("_text_hash")
+    name = unused(documents, "_text_hash")
+    named = documents.withColumn(name, row_hash(F.col("text")))
+    same = named["doc_id"].eqNullSafe(bad["doc_id"]) & (named[name] == bad["text_hash"])
+    return named.join(bad.hint("shuffle_hash"), same, "left_anti").drop(name)
 
 
 def cut_spans(documents: DataFrame, found: DataFrame) -> DataFrame:

@@ -246,42 +246,57 @@ def fit(features: np.ndarray, first: np.ndarray, good: np.ndarray) -> Model:
     return Model(mean, scale, theta[:-4], theta[-4:].reshape(2, 2))
 
 
-def _sampled_features(batches):
+def _sampled_features(max_lines: int):
+    def run(batches):
+        for batch in batches:
+            yield from _batch_features(batch, max_lines)
+
+    return run
+
+
+def _batch_features(batch, max_lines: int):
     import pyarrow as pa
 
-    for batch in batches:
-        good = batch.column("quality").to_numpy(zero_copy_only=False)
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        for at, _, data, offsets in textnum.chunks(batch.column("text")):
-            told = lines(data, offsets)
-            for r in range(len(told.first) - 1):
-                a, b = told.first[r], told.first[r + 1]
-                if b - a <= SAMPLE_LINES:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([int(ids[at + r])]),
-                            pa.array([int(good[at + r])]),
-                            pa.array([told.features[a:b].astype(np.float32).tobytes()], pa.binary()),
-                        ],
-                        names=["doc_id", "quality", "features"],
-                    )
-
-
-def fit_on_sample(documents: DataFrame, labels: DataFrame, allowed=None) -> Model:
-    """Fit on at most SAMPLE_DOCUMENTS labelled rows of at most SAMPLE_LINES lines.
+    good = batch.column("quality").to_numpy(zero_copy_only=False)
+    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+    for at, _, data, offsets in textnum.chunks(batch.column("text")):
+        told = lines(data, offsets)
+        for r in range(len(told.first) - 1):
+            a, b = told.first[r], told.first[r + 1]
+            if b - a <= max_lines:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(ids[at + r])]),
+                        pa.array([int(good[at + r])]),
+                        pa.array([told.features[a:b].astype(np.float32).tobytes()], pa.binary()),
+                    ],
+                    names=["doc_id", "quality", "features"],
+                )
+
+
+def fit_on_sample(
+    documents: DataFrame,
+    labels: DataFrame,
+    allowed=None,
+    max_documents: int = SAMPLE_DOCUMENTS,
+    max_lines: int = SAMPLE_LINES,
+) -> Model:
+    """Fit on at most ``max_documents`` labelled texts of at most ``max_lines`` lines.
 
     The sample is the first by a hash of the id among the labels that ``allowed``
-    admits; ids labelled 0 and 1 both, and null labels or ids, are not used.
+    admits; ids labelled 0 and 1 both, and null labels or ids, are not used. Of rows that
+    share an id the least text is used, so the sample does not depend on the run.
     """
     known = only(labels, "doc_id", "quality").filter("doc_id IS NOT NULL AND quality IN (0, 1)")
     if allowed is not None:
         known = known.filter(allowed)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
     known = known.filter("quality = most").select("doc_id", "quality")
-    chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE_DOCUMENTS)
+    chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_documents)
     sample = only(documents, "doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    told = sample.mapInArrow(_sampled_features, "doc_id bigint, quality bigint, features binary")
-    rows = sorted(told.limit(2 * SAMPLE_DOCUMENTS).collect(), key=lambda r: (r["doc_id"], r["features"]))
+    sample = sample.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    told = sample.mapInArrow(_sampled_features(max_lines), "doc_id bigint, quality bigint, features binary")
+    rows = sorted(told.collect(), key=lambda r: r["doc_id"])
     if not rows:
         return NEUTRAL
     parts = [np.frombuffer(r["features"], np.float32).reshape(-1, N_FEATURES).astype(float) for r in rows]

@@ -15,6 +15,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparktrail.llm.common import unused
+
 #: Shards of the registered query, and slots. The table should have 100 slots a shard at least.
 N_SHARDS = 64
 TABLE_SIZE = 8191
@@ -62,9 +64,10 @@ def place(df: DataFrame, key: Column, shards: list[str], size: int = TABLE_SIZE)
     """
     spark = df.sparkSession
     rows = list(enumerate(lookup_table(shards, size)))
-    table = spark.createDataFrame(rows, "_slot int, shard int")
+    number = unused(df, "_slot")
+    table = spark.createDataFrame(rows, f"{number} int, shard int")
     base = df.drop("slot", "shard").withColumn("slot", slot_of(key, size))
-    return base.join(F.broadcast(table), F.col("slot") == F.col("_slot")).drop("_slot")
+    return base.join(F.broadcast(table), F.col("slot") == F.col(number)).drop(number)
 
 
 def write_shards(placed: DataFrame, path: str, files_per_shard: int = 1) -> None:
