@@ -4,7 +4,10 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparktrail.llm import chat, decontaminate, jaccard, linecrf, linededup, mixing, quality, queries, rules, sharding, spans, surrogates
@@ -108,14 +111,65 @@ def test_jaccard_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "SHORT_LIST", short)
         monkeypatch.setattr(jaccard, "BLOCK_SETS", sets)
         monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", columns)
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame).collect()}
-        assert got == want
+        monkeypatch.setattr(jaccard, "FAMILY_SETS", columns // 100)
+        answers = jaccard.jaccard_components(frame).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in answers} == want
+        assert {r.doc_id: r.n_links for r in answers} == brute_links(rows)
 
 
-def test_jaccard_keeps_one(spark, docs):
+def brute_links(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    alike = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    return {i: sum(bool(a) and i != j and alike(a, b) for j, b in sets.items()) for i, a in sets.items()}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=25), min_size=1, max_size=25))
+def test_derived_overlaps(drawn):
+    arrays = [np.array(sorted(s), np.uint64) for s in drawn]
+    assert jaccard.overlaps(arrays).tolist() == [[len(a & b) for b in drawn] for a in drawn]
+
+
+def test_jaccard_keeps_one(spark, docs, empty):
     kept = [r.doc_id for r in jaccard.keep_one_per_component(docs).collect()]
     assert sorted(k for k in kept if k is not None) == [1, 3, 4, 5, 6, 7]
     assert jaccard.keep_one_per_component(docs).columns == docs.columns
+    assert jaccard.keep_one_per_component(empty).count() == 0
+
+
+def test_jaccard_keeps_one_of_repeats(spark):
+    other = STORY.replace(".", "")
+    rows = [(1, LONG, 1), (1, LONG, 1), (1, LONG, 2), (1, LONG + " more", 3), (2, LONG, 4), (None, LONG, 5)]
+    rows += [(None, other, 6), (None, other, 6), (None, other + " more", 7), (8, "", 8), (8, "", 8), (None, None, 9)]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, `Rows` int, _text_hash string")
+    kept = jaccard.keep_one_per_component(frame)
+    assert kept.columns == frame.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(got) == 5 and sum(i == 1 for i, _ in got) == 1 and got.count((8, "")) == 2 and (None, None) in got
+    assert sum(i is None and bool(t) for i, t in got) == 1
+
+
+def test_clashing_names(spark, bench):
+    clash = "text_hash string, _slot string, slot int, _TEXT_HASH string"
+    frame = spark.createDataFrame([(1, LONG, "a", "b", 5, "c"), (None, None, "a", "b", 5, "c")], "doc_id bigint, text string, " + clash)
+    clean = decontaminate.drop_contaminated(frame, bench)
+    assert clean.columns == frame.columns and [r.doc_id for r in clean.collect()] == [None]
+    placed = sharding.place(frame, F.col("doc_id"), ["a", "b"], 11)
+    assert set(placed.columns) == {*frame.columns, "shard"} and placed.count() == 2
+
+
+def test_the_fit_does_not_depend_on_repeated_rows(spark):
+    good, bad = "A fine sentence stands here today.", "||| ### $$$ ||| ###"
+    rows = [(i, good if i % 2 else bad) for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    fits = [
+        linecrf.fit_on_sample(spark.createDataFrame(taken, "doc_id bigint, text string"), labels, max_documents=12)
+        for taken in (rows, rows * 3, [*rows, *((i, t + "~") for i, t in rows)])
+    ]
+    for one in fits[1:]:
+        assert np.allclose(one.weights, fits[0].weights) and np.allclose(one.moves, fits[0].moves)
+    long = spark.createDataFrame([(1, "a\nb\nc")], "doc_id bigint, text string")
+    assert linecrf.fit_on_sample(long, labels, max_lines=2) is linecrf.NEUTRAL
 
 
 def test_repeated_passages_go(spark):
