@@ -76,6 +76,16 @@ def run_hooks(spark, folder):
     )
 
 
+#: Bytes of lines that a task sorts and writes into one file.
+FILE_BYTES = 64 << 20
+
+
+def file_count(lines: DataFrame, least: int, each: int = FILE_BYTES) -> int:
+    """How many files take ``lines`` (raw) with about ``each`` bytes in one; at least ``least``."""
+    total = lines.agg(F.sum(F.octet_length("raw") + 1)).first()[0] or 0
+    return max(least, -(-total // each))
+
+
 def grow_files(lines: DataFrame, folder: str, files: int, key: str, share: float) -> None:
     """Write the first ``share`` of the bytes of each file of ``lines`` (key, raw), cut anywhere.
 
@@ -112,8 +122,9 @@ def run_tail(spark, folder):
     lines = table(spark, folder, "events").selectExpr(*X.raw_trail_columns("spark")).select("event_id", "raw")
     lines = materialize(spark, lines, "lines")
     tail.register(spark)
+    files = file_count(lines, 4)
     for share in (0.3, 0.77, 1.0):
-        grow_files(lines, f"{root}/files", 4, "event_id", share)
+        grow_files(lines, f"{root}/files", files, "event_id", share)
         stream = spark.readStream.format(tail.NAME).option("path", f"{root}/files").load()
         state.drain(append(stream, root))
     return spark.read.schema(stream.schema).parquet(f"{root}/out")

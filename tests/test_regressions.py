@@ -110,3 +110,22 @@ def test_time_bounds_do_not_depend_on_the_session_zone(spark):
         finally:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert seen[0] == seen[1] and tuple(seen[0][0]) == (0, 23)
+
+
+def test_token_lookup_covers_every_proxy_error(spark, tmp_path):
+    from sparktrail.plans import trail as plans
+
+    # Of session 1: a recovery (1), an error of another kind (20) and a failed authorization (24).
+    spark.sql(
+        "SELECT CAST(id AS BIGINT) AS event_id, timestamp_seconds(1704067200 + id) AS ts, 1L AS user_id, 'error' AS event_type, 1D AS value,"
+        " '{\"k\": 1}' AS props FROM VALUES (1), (20), (24) AS t(id)"
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((int(r.id), r.last_token_event, r.ago_ms) for r in plans.token_asof(spark, str(tmp_path)).collect())
+    assert got == [(20, "app.connector_recovered", 19000), (24, "app.connector_recovered", 23000)]
+
+
+def test_growing_files_are_as_many_as_their_bytes_need(spark, tmp_path):
+    lines = spark.range(300).select(F.col("id").alias("event_id"), F.concat(F.lit("line "), "id").alias("raw"))
+    assert jobs.file_count(lines, 4) == 4
+    assert jobs.file_count(lines, 4, each=100) == -(-lines.agg(F.sum(F.octet_length("raw") + 1)).first()[0] // 100)
+    assert jobs.file_count(lines.limit(0), 4) == 4
