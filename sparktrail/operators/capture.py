@@ -84,6 +84,8 @@ def persisted(rows: DataFrame, key: bytes, inbound: tuple = chain.INBOUND_CHAIN)
     A request comes once per detection, or with the baseline. Other rows come as they are; what
     is found in a result follows as enrichments without payload.
     """
+    # Written once: three branches read them, and each would parse and pair them again.
+    rows = materialize(rows.sparkSession, rows, "captured")
     none = F.array().cast(f"array<{DETECTION}>")
     request, scanned = F.col("type") == "mcp.request", F.col("scan").isNotNull()
     asked = chain.classify(rows.where(request), "scan", "tool", chain.REQUEST_CHAIN, True)

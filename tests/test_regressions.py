@@ -129,3 +129,20 @@ def test_growing_files_are_as_many_as_their_bytes_need(spark, tmp_path):
     assert jobs.file_count(lines, 4) == 4
     assert jobs.file_count(lines, 4, each=100) == -(-lines.agg(F.sum(F.octet_length("raw") + 1)).first()[0] // 100)
     assert jobs.file_count(lines.limit(0), 4) == 4
+
+
+def test_only_copies_are_compared_as_whole_rows(spark):
+    rows = spark.range(40).selectExpr(
+        "CASE WHEN id < 30 THEN CAST(id AS STRING) WHEN id < 35 THEN '7' END AS id", "'mcp.request' AS type", "id AS n", "repeat('x', 50) AS payload"
+    )
+    once = assemble._first_copies(rows, ["n"])
+    assert sorted(r.n for r in once.collect()) == [*range(30), *range(35, 40)]
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan  # rows alone under their id stay where they are
+
+
+def test_captured_rows_are_parsed_once(spark, data):
+    from sparktrail.plans import traffic
+
+    plan = traffic.captured_trail(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "try_parse_json" not in plan
