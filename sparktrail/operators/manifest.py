@@ -108,6 +108,30 @@ def signatures(tools: DataFrame) -> DataFrame:
     )
 
 
+#: Tools of the longest list of a connector that are compared as one part, on average.
+PART_TOOLS = 1000
+
+
+def in_parts(tools: DataFrame, each: int = PART_TOOLS) -> DataFrame:
+    """Tool lists cut into parts by their names: ``part``, and ``size`` and ``pos`` within it.
+
+    A connector has as many parts as its longest list needs, and a name is in the same part of
+    every list. A part without tools in a list has one row of size 0 without position and tool.
+    """
+    order = "pos" if "pos" in tools.columns else "tool"
+    tools = tools.where("mcp IS NOT NULL AND snap IS NOT NULL")
+    lists = tools.groupBy("mcp", "snap").agg(F.count("*").alias("_n"))
+    parts = lists.groupBy("mcp").agg(F.ceil(F.max("_n") / each).cast("int").alias("_parts"))
+    parted = tools.join(parts, "mcp").withColumn("part", F.pmod(F.xxhash64("tool"), "_parts").cast("int")).drop("_parts")
+    here = Window.partitionBy("mcp", "snap", "part")
+    position = F.row_number().over(here.orderBy(order)).cast("int")
+    placed = parted.withColumn("_pos", position).withColumn("size", F.count("*").over(here).cast("int"))
+    placed = placed.drop("pos").withColumnRenamed("_pos", "pos")
+    every = lists.join(parts, "mcp").select("mcp", "snap", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"))
+    empty = every.join(parted.select("mcp", "snap", "part").distinct(), ["mcp", "snap", "part"], "left_anti")
+    return placed.unionByName(empty.withColumn("size", F.lit(0)), allowMissingColumns=True)
+
+
 def signed_rows(tools: DataFrame) -> DataFrame:
     """Every row of a tool list with its hashes, surface and whether its description injects.
 
@@ -116,11 +140,7 @@ def signed_rows(tools: DataFrame) -> DataFrame:
     canonical = F.to_json(F.try_parse_json(F.coalesce("input_schema", F.lit("null"))))
     none = F.array().cast("array<string>")
     return tools.withColumn("_surface", _surface_udf()("input_schema")).select(
-        "mcp",
-        "snap",
-        "size",
-        "pos",
-        "tool",
+        *(c for c in ("mcp", "snap", "part", "size", "pos", "tool") if c in tools.columns),
         F.sha2(F.coalesce("description", F.lit("")), 256).alias("d"),
         F.sha2(canonical, 256).alias("s"),
         F.coalesce("_surface.p", none).alias("p"),

@@ -6,7 +6,7 @@ with any trigger; the ``run_*`` functions drain the given tables once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktrail.operators import assemble, entity, hooks, lifecycle, manifest
@@ -139,12 +139,22 @@ def append(rows: DataFrame, root: str, trigger=None):
     return writer.option("checkpointLocation", f"{root}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
 
+#: Rows that one task writes into a file of a step.
+FILE_ROWS = 100_000
+
+
+def step_files(rows: DataFrame, step: Column, each: int = FILE_ROWS) -> int:
+    """Files for every step: about ``each`` rows of the largest in one, at least 2, and no more than the smallest fills."""
+    sizes = [r["count"] for r in rows.groupBy(step.alias("step")).count().where("step IS NOT NULL").collect()]  # a row a step
+    return max(2, min(-(-max(sizes) // each), min(sizes) // 1000)) if sizes else 2
+
+
 def feed(rows: DataFrame, step: Column, steps: int, root: str, job, last: DataFrame | None = None) -> DataFrame:
     """Deliver a table step by step to ``job(stream)``, which is stopped in the middle and started again.
 
     Every step is a micro-batch of its own; ``last`` comes after them. Returns what the job gave.
     """
-    spark, files = rows.sparkSession, 2
+    spark, files = rows.sparkSession, step_files(rows, step)
     for part in (range(steps // 2), range(steps // 2, steps)):
         for k in part:
             rows.where(step == k).repartition(files).write.mode("append").parquet(f"{root}/in")
@@ -167,10 +177,8 @@ def run_latency(spark, folder):
 def run_manifest(spark, folder):
     """Tool lists whose rows are spread over all steps."""
     root = _prepare(spark, "manifest")
-    tools = X.manifests(spark, folder)
-    position = F.row_number().over(Window.partitionBy("mcp", "snap").orderBy("tool")).cast("int")
-    listed = tools.withColumn("pos", position).join(tools.groupBy("mcp", "snap").agg(F.count("*").cast("int").alias("size")), ["mcp", "snap"])
-    step = F.pmod(F.xxhash64("mcp", "snap", "pos"), F.lit(4))
+    listed = materialize(spark, manifest.in_parts(X.manifests(spark, folder)), "listed")
+    step = F.pmod(F.xxhash64("mcp", "snap", "part", "pos"), F.lit(4))
     found = feed(listed, step, 4, root, lambda rows: stateful.manifest_drift(manifest.signed_rows(rows)))
     return found.groupBy("mcp", F.col("snap").cast("bigint").alias("snap"), "type").agg(F.count("*").alias("n"))
 

@@ -75,6 +75,23 @@ def test_a_list_in_two_batches_is_one_list(deliver):
         assert sorted((r.snap, r.location, r.type) for r in got.collect()) == want
 
 
+def test_parts_of_a_list_are_compared_apart(deliver, spark):
+    rng = random.Random(5)
+    schemas = ['{"properties":{"a":{}}}', '{"properties":{"a":{},"b":{}}}', '{"required":["a"]}', None]
+    lists = [rng.sample(range(60), n) for n in (40, 45, 3, 38)]  # the third leaves parts empty
+    rows = [(f"m{m}", snap, f"t{k}", f"text {rng.randrange(2)}", rng.choice(schemas)) for m in (0, 1) for snap, some in enumerate(lists) for k in some]
+    tools = spark.createDataFrame(rows, "mcp string, snap int, tool string, description string, input_schema string")
+    parted = manifest.in_parts(tools, 10)
+    assert parted.where("mcp = 'm0'").select("part").distinct().count() == 5
+    assert parted.where("size = 0").count() > 0
+    came = parted.collect()
+    rng.shuffle(came)
+    got = deliver(parted.schema, [came[:100], came[90:200], came[200:]], lambda s: stateful.manifest_drift(manifest.signed_rows(s)))
+    want = manifest.drift_findings(manifest.signatures(tools))
+    pick = lambda df: sorted((r.mcp, r.snap, r.location, r.type) for r in df.collect())
+    assert pick(got) == pick(want)
+
+
 def test_alerts_begin_and_end_by_time(deliver):
     hour = 3600
     rows = {
@@ -101,6 +118,12 @@ def test_sessions_end_once(deliver):
     assert sorted((r.session, r.last_ms, r.n, r.reason) for r in got.collect()) == want
 
 
+def test_files_of_a_step_grow_with_it(spark):
+    rows = spark.range(60_000)
+    assert [jobs.step_files(rows, F.col("id") % 4, each) for each in (100_000, 7_500, 1_500)] == [2, 2, 10]
+    assert jobs.step_files(rows.where("id < 59990 AND id % 4 > 0 OR id < 4"), F.col("id") % 4, 1_500) == 2  # a step of one row fills one file
+
+
 def test_outcomes_come_out_of_the_stream(deliver, spark):
     day = 86400
     rows = [
