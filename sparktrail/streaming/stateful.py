@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -275,11 +276,12 @@ def alert_transitions(signals: DataFrame, tick_seconds: int, first_tick: int, la
     return rows.groupBy("mcp").transformWithState(processor, ALERTS, "Append", "EventTime")
 
 
-class SessionEnd(StatefulProcessor):
-    """Activity of a session, which closes after a terminal marker or a silence, once each time.
+class SessionEnds(StatefulProcessor):
+    """Activity of a group of sessions, which close after a terminal marker or a silence, once each time.
 
-    Rows wait until the watermark has passed them and are then taken in order of time; what
-    comes after a closing opens the session anew.
+    Moments come when the watermark has passed them, those of a batch after those of the batches
+    before, so that only the open stretch of a session is held; what comes after a closing opens
+    the session anew. One timer waits for the first silence that can end.
     """
 
     def __init__(self, silence_ms: int) -> None:
@@ -287,51 +289,63 @@ class SessionEnd(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "last_ms bigint, n bigint")
-        self.waiting = handle.getListState("waiting", "ts_ms bigint, terminal boolean")
+        self.open = handle.getValueState("open", "timer_ms bigint, session array<string>, last_ms array<bigint>, n array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues):
-        if key[0] is None:
-            return iter(())
-        came = [(row.ts_ms, row.terminal) for row in rows]
-        self.waiting.appendList(came)
-        self.handle.registerTimer(max(came)[0] + 1)
-        return iter(())
+        came = pd.concat([part[["session", "ts_ms", "terminal", "n"]] for part in rows])
+        return self._closings(came[came["session"].notna()], None, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        return self._closings(None, expiredTimerInfo.getExpiryTimeInMs(), timerValues)
+
+    def _closings(self, came, expired, timerValues):
         now = timerValues.getCurrentWatermarkInMs()
-        last, n = self.open.get() if self.open.exists() else (0, 0)
-        waiting = sorted(tuple(row) for row in self.waiting.get()) if self.waiting.exists() else []
-        for ts_ms, terminal in waiting:
-            if ts_ms >= now:
-                break
-            if n and ts_ms - last > self.silence_ms:
-                yield Row(session=key[0], last_ms=last, n=n, reason="silence")
-                n = 0
-            last, n = ts_ms, n + 1
-            if terminal:
-                yield Row(session=key[0], last_ms=last, n=n, reason="marker")
-                n = 0
-        later = [row for row in waiting if row[0] >= now]
-        if n and now - last > self.silence_ms:
-            yield Row(session=key[0], last_ms=last, n=n, reason="silence")
-            n = 0
-        if later:
-            self.waiting.put(later)
-        else:
-            self.waiting.clear()
-        if n:
-            self.open.update((last, n))
-            self.handle.registerTimer(last + self.silence_ms + 1)
+        timer, *held = self.open.get() or (None, [], [], [])
+        rows = pd.DataFrame({"session": held[0], "ts_ms": held[1], "terminal": False, "n": held[2]})
+        if came is not None:
+            # Of rows at one time the terminal ones come last, each by itself.
+            came = came.reset_index(drop=True)
+            again = came.index.repeat(np.where(came["terminal"], came["n"], 1))
+            came = came.loc[again].assign(n=lambda x: np.where(x["terminal"], 1, x["n"]))
+            rows = pd.concat([rows, came]) if len(rows) else came
+        if not len(rows):
+            if expired is not None:
+                self.open.clear()
+            return
+        rows = rows.sort_values(["session", "ts_ms", "terminal"], kind="stable")
+        session, ts_ms = rows["session"].to_numpy(object), rows["ts_ms"].to_numpy("int64")
+        terminal, n = rows["terminal"].to_numpy(bool), rows["n"].to_numpy("int64")
+        same = session[1:] == session[:-1]
+        begins = np.flatnonzero(np.r_[True, ~same | terminal[:-1] | (np.diff(ts_ms) > self.silence_ms)])
+        ends = np.r_[begins[1:], len(session)] - 1
+        followed = np.r_[same, False][ends]
+        closed = terminal[ends] | followed | (now - ts_ms[ends] > self.silence_ms)
+        runs = pd.DataFrame({"session": session[ends], "last_ms": ts_ms[ends], "n": np.add.reduceat(n, begins)})
+        still = runs[~closed]
+        timer = None if timer == expired else timer
+        if len(still) and timer is None:
+            timer = int(still["last_ms"].min()) + self.silence_ms + 1
+            self.handle.registerTimer(timer)
+        if len(still) or timer is not None:
+            self.open.update((timer, *(still[c].tolist() for c in still.columns)))
         else:
             self.open.clear()
+        yield runs.assign(reason=np.where(terminal[ends], "marker", "silence"))[closed]
 
     def close(self) -> None:
         pass
 
 
-def session_ends(rows: DataFrame, silence_seconds: int, lateness: str) -> DataFrame:
-    """``session, last_ms, n, reason`` of every closing; ``rows`` has session, ts and terminal."""
+def session_ends(rows: DataFrame, silence_seconds: int, lateness: str, groups: int = 1024) -> DataFrame:
+    """``session, last_ms, n, reason`` of every closing; ``rows`` has session, ts and terminal.
+
+    Rows wait for the watermark in an aggregate; what it lets go is judged for ``groups`` hashed
+    groups of sessions, each as a whole. A group holds its open sessions, so ``groups`` should
+    grow with their number; a checkpoint stays with its number.
+    """
     # Rows without a session move the watermark, as for alerts.
-    timed = rows.withWatermark("ts", lateness).select("session", "ts", F.unix_millis("ts").alias("ts_ms"), "terminal")
-    return timed.groupBy("session").transformWithState(SessionEnd(silence_seconds * 1000), CLOSED, "Append", "EventTime")
+    timed = rows.select("session", F.timestamp_millis(F.unix_millis("ts")).alias("ts"), F.coalesce("terminal", F.lit(False)).alias("terminal"))
+    moments = timed.withWatermark("ts", lateness).groupBy("session", "ts", "terminal").agg(F.count("*").alias("n"))
+    group = F.pmod(F.xxhash64("session"), F.lit(groups)).alias("group")
+    moments = moments.select(group, "session", "ts", F.unix_millis("ts").alias("ts_ms"), "terminal", "n")
+    return moments.groupBy("group").transformWithStateInPandas(SessionEnds(silence_seconds * 1000), CLOSED, "Append", "EventTime")

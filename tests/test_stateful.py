@@ -118,6 +118,33 @@ def test_sessions_end_once(deliver):
     assert sorted((r.session, r.last_ms, r.n, r.reason) for r in got.collect()) == want
 
 
+def test_grouped_sessions_end_as_single_ones(deliver):
+    day, silence = 86400, 20
+    rng = random.Random(3)
+    rows = [(f"s{rng.randrange(6)}", rng.randrange(1, 400), rng.random() < 0.2) for _ in range(150)]
+    # One that opens, ends while its timer waits, and opens again after that.
+    rows += [("z", 40, False), ("z", 100, True), ("z", 250, False)]
+    want = []
+    for name in {r[0] for r in rows}:
+        last, n = 0, 0
+        for _, t, terminal in sorted(r for r in rows if r[0] == name):
+            if n and t - last > silence:
+                want.append((name, last * 1000, n, "silence"))
+                n = 0
+            last, n = t, n + 1
+            if terminal:
+                want.append((name, last * 1000, n, "marker"))
+                n = 0
+        if n:
+            want.append((name, last * 1000, n, "silence"))
+    cuts = (0, 50, 99, 110, 240, 260, 400)
+    batches = [[*(r for r in rows if a < r[1] <= b), (None, day + b, None)] for a, b in zip(cuts, cuts[1:])] + [[(None, day + 500, None)]]
+    for groups in (1, 3):
+        job = lambda s: stateful.session_ends(s.withColumn("ts", F.timestamp_seconds("at_s")), silence, "1 day", groups)  # noqa: B023, E731
+        got = deliver("session string, at_s bigint, terminal boolean", batches, job)
+        assert sorted((r.session, r.last_ms, r.n, r.reason) for r in got.collect()) == sorted(want)
+
+
 def test_files_of_a_step_grow_with_it(spark):
     rows = spark.range(60_000)
     assert [jobs.step_files(rows, F.col("id") % 4, each) for each in (100_000, 7_500, 1_500)] == [2, 2, 10]
