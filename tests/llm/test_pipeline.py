@@ -1,8 +1,11 @@
 """The pipeline's stages on the smallest tables, each against its own rule."""
 
+import time
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from sparktrail import session
 from sparktrail.llm import mixing, sharding
 
 from .test_operators import brute_components
@@ -32,3 +35,19 @@ def test_stages(spark, data):
 def test_run_gives_the_same_rows(spark, data):
     rows = corpus_pipeline.run(spark, data)
     assert rows.count() > 0 and set(rows.columns) == {"doc_id", "text", "lang", "source", "n_chars", "slot", "shard"}
+
+
+def test_a_written_intermediate_leaves_no_shuffle_files(spark):
+    def files():
+        on_disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getPath() for f in (on_disk.apply(k) for k in range(on_disk.size())) if f.getName().startswith("shuffle_")}
+
+    spark.range(10).write.format("noop").mode("overwrite").save()
+    before = files()
+    written = session.materialize(spark, spark.range(10_000).selectExpr("id % 7 AS k").repartition("k").groupBy("k").count(), "sums")
+    until = time.time() + 10
+    while (left := files() - before) and time.time() < until:  # they are removed in the background
+        time.sleep(0.1)
+    assert not left
+    assert {(r["k"], r["count"]) for r in written.collect()} == {(k, 10_000 // 7 + (k < 10_000 % 7)) for k in range(7)}
+    assert spark.conf.get(session.CLEANUP, "false") == "false"
