@@ -130,6 +130,29 @@ def test_derived_overlaps(drawn):
     assert jaccard.overlaps(arrays).tolist() == [[len(a & b) for b in drawn] for a in drawn]
 
 
+def test_jaccard_moves_few_texts_that_no_family_asks_for(spark, monkeypatch):
+    rows = near_copies() + [(1000 + k, f"alone{k} " + " ".join(f"x{k}_{i}" for i in range(30))) for k in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    likely, moved = jaccard._likely, []
+
+    def counted(*args):
+        kept = likely(*args)
+        moved.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(jaccard, "_likely", counted)
+    answers = jaccard.jaccard_components(frame).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in answers} == brute_components(rows)
+    assert 25 <= moved[0] < 100 < len(rows)
+    keys = spark.createDataFrame([(k, str(k)) for k in range(2000)] + [(None, "x")], "a bigint, b string")
+    for words in (1, 1 << 18):
+        monkeypatch.setattr(jaccard, "BITMAP_WORDS", words)
+        wanted = keys.filter("a % 4 = 0 OR a IS NULL").selectExpr("a AS c", "b AS d")
+        kept = likely(keys, F.xxhash64("a", "b"), wanted, F.xxhash64("c", "d"))
+        assert kept.columns == keys.columns and kept.filter("a % 4 = 0 OR a IS NULL").count() == 501
+        assert kept.count() < 510 or words == 1
+
+
 def test_jaccard_keeps_one(spark, docs, empty):
     kept = [r.doc_id for r in jaccard.keep_one_per_component(docs).collect()]
     assert sorted(k for k in kept if k is not None) == [1, 3, 4, 5, 6, 7]
