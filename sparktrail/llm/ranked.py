@@ -19,6 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sparktrail.llm.common import only
 from sparktrail.llm.textnum import LOWER, byte_column, edges
-from sparktrail.session import materialize
+from sparktrail.session import materialize, settings
 
 TOP = 10
 #: Percent of a document's length that counts, as in the score's definition.
@@ -36,6 +37,11 @@ BLOCK = 1 << 23
 #: Documents of an interval that is scored whole, and pairs of interval and term handled at once.
 SHORT = 16
 PAIRS = 1 << 20
+#: Bytes of text, and pairs of interval and term, whose arrays a task holds at once.
+SLICE, PART = 1 << 20, 1 << 16
+#: Texts come to a worker by about a block, blocks come one by one.
+BY_TEXT = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BLOCK)}
+BY_BLOCK = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "1"}
 #: Items, and characters of items, that one pass over the index answers.
 ITEMS, ITEM_CHARS = 2000, 4_000_000
 
@@ -75,11 +81,31 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, object]:
 
 
 def _postings(data: np.ndarray, offsets: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """Terms, and by term then row: sizes of the lists, their rows and counts."""
-    row, coded = _terms(data, offsets)
-    rows = len(offsets) - 1
-    key, counts = np.unique(coded.indices.to_numpy().astype(np.int64) * rows + row, return_counts=True)
-    return coded.dictionary, np.bincount(key // rows, minlength=len(coded.dictionary)), key % rows, counts
+    """Terms, and by term then row: sizes of the lists, their rows and counts. The text is read in slices of rows."""
+    import pyarrow as pa
+
+    rows, at = len(offsets) - 1, 0
+    found, coded = [], []
+    while at < rows:
+        end = int(np.searchsorted(offsets, offsets[at] + SLICE, side="right")) - 1
+        end = min(max(end, at + 1), rows)
+        row, some = _terms(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+        found.append((row + at).astype(np.int32))
+        coded.append(some)
+        at = end
+    coded = pa.chunked_array(coded).unify_dictionaries()
+    terms = coded.chunk(0).dictionary
+    # In place, as there is a key for every word of the block.
+    key, at = np.empty(len(coded), np.int64), 0
+    for some, row in zip(coded.chunks, found, strict=True):
+        np.multiply(some.indices.to_numpy(), rows, out=key[at : at + len(row)], dtype=np.int64)
+        key[at : at + len(row)] += row
+        at += len(row)
+    del coded, found
+    key.sort()
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    counts, key = np.diff(first, append=len(key)), key[first]
+    return terms, np.bincount(key // rows, minlength=len(terms)), key % rows, counts
 
 
 def _long_postings(data: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,6 +126,28 @@ def _long_postings(data: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, np.n
     return pa.array(list(total), pa.string()), np.ones(n, np.int64), np.zeros(n, np.int64), np.array(list(total.values()), np.int64)
 
 
+def _texts_of_blocks(batches) -> Iterator:
+    """Batches of about BLOCK bytes of text, or of one longer text, whatever the size of those that come."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for batch in batches:
+        _, offsets = byte_column(batch.column(1))
+        at = 0
+        while at < batch.num_rows:
+            end = max(int(np.searchsorted(offsets, offsets[at] + BLOCK - size, side="right")) - 1, at)
+            end = min(max(end, at + 1) if not held else end, batch.num_rows)
+            if end > at:
+                held.append(batch.slice(at, end - at))
+                size += int(offsets[end] - offsets[at])
+            if end < batch.num_rows:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            at = end
+    if held:
+        yield pa.concat_batches(held)
+
+
 def build_index(documents: DataFrame) -> DataFrame:
     """Blocks of the index over ``doc_id, text``: every row of ``documents`` is a document of its own.
 
@@ -109,33 +157,27 @@ def build_index(documents: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            order = np.argsort(batch.column(0).fill_null(NO_ID).to_numpy(), kind="stable")
-            batch = batch.take(pa.array(order))
-            ids = batch.column(0)
+        one = lambda values, kind: pa.array([values], pa.list_(kind))
+        for batch in _texts_of_blocks(batches):
+            n = batch.num_rows
+            batch = batch.take(pa.array(np.argsort(batch.column(0).fill_null(NO_ID).to_numpy(), kind="stable")))
             data, offsets = byte_column(batch.column(1))
-            at = 0
-            while at < batch.num_rows:
-                end = int(np.searchsorted(offsets, offsets[at] + BLOCK, side="right")) - 1
-                end = min(max(end, at + 1), batch.num_rows)
-                text, within = data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
-                terms, sizes, rows, counts = _long_postings(text) if len(text) > BLOCK else _postings(text, within)
-                lengths = np.bincount(rows, weights=counts, minlength=end - at).astype(np.int64)
-                one = lambda values, kind: pa.array([values], pa.list_(kind))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), ids.slice(at, end - at)),
-                        one(lengths, pa.int64()),
-                        pa.array([int(np.count_nonzero(lengths))], pa.int64()),
-                        pa.array([int(lengths.sum())], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms.cast(pa.string())),
-                        one(sizes.astype(np.int32), pa.int32()),
-                        one(rows.astype(np.int32), pa.int32()),
-                        one(counts.astype(np.int32), pa.int32()),
-                    ],
-                    [c.split()[0] for c in INDEX.split(", ")],
-                )
-                at = end
+            text, within = data[offsets[0] : offsets[n]], offsets - offsets[0]
+            terms, sizes, rows, counts = _long_postings(text) if n == 1 and len(text) > BLOCK else _postings(text, within)
+            lengths = np.bincount(rows, weights=counts, minlength=n).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column(0)),
+                    one(lengths, pa.int64()),
+                    pa.array([int(np.count_nonzero(lengths))], pa.int64()),
+                    pa.array([int(lengths.sum())], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms.cast(pa.string())),
+                    one(sizes.astype(np.int32), pa.int32()),
+                    one(rows.astype(np.int32), pa.int32()),
+                    one(counts.astype(np.int32), pa.int32()),
+                ],
+                [c.split()[0] for c in INDEX.split(", ")],
+            )
 
     return only(documents, "doc_id", "text").mapInArrow(run, INDEX)
 
@@ -153,7 +195,7 @@ class Lists:
     def __init__(self, sizes: np.ndarray, docs: np.ndarray, impacts: np.ndarray, n_docs: int) -> None:
         self.n_docs, self.docs, self.impacts = n_docs, docs, impacts
         self.key = np.repeat(np.arange(len(sizes)), sizes) * n_docs + docs
-        self.table = [np.arange(len(docs))]
+        self.table = [np.arange(len(docs), dtype=np.int32)]
         for k in range(1, int(sizes.max(initial=0)).bit_length()):
             below, step = self.table[-1], 1 << (k - 1)
             left, right = below[: len(below) - step], below[step:]
@@ -231,8 +273,25 @@ class Best:
         return (bound > least) | ((bound == least) & (bound > 0) & (first_id < self.least_id[item]))
 
 
+def _parts(items: Items, item: np.ndarray) -> Iterator[slice]:
+    """Slices of intervals with about PART pairs of interval and term; at least one slice, which may be empty."""
+    ends = np.cumsum(items.sizes[item])
+    at, before = 0, 0
+    while True:
+        end = min(max(int(np.searchsorted(ends, before + PART, side="right")), at + 1), len(item))
+        yield slice(at, end)
+        if end == len(item):
+            return
+        at, before = end, int(ends[end - 1])
+
+
 def _bounded(lists: Lists, items: Items, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bound of every interval, and the document where it splits."""
+    made = [_bounded_part(lists, items, item[s], low[s], high[s]) for s in _parts(items, item)]
+    return tuple(np.concatenate(columns) for columns in zip(*made, strict=True))
+
+
+def _bounded_part(lists: Lists, items: Items, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     run, entry = items.pairs(item)
     start, end = lists.range(items.terms[entry], low[run], high[run])
     some = end > start
@@ -251,6 +310,14 @@ def _bounded(lists: Lists, items: Items, item: np.ndarray, low: np.ndarray, high
 
 def _scored(lists: Lists, items: Items, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Interval, document and exact score of every document with a term of the item."""
+    made = []
+    for s in _parts(items, item):
+        interval, doc, total = _scored_part(lists, items, item[s], low[s], high[s])
+        made.append((interval + s.start, doc, total))
+    return tuple(np.concatenate(columns) for columns in zip(*made, strict=True))
+
+
+def _scored_part(lists: Lists, items: Items, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     run, entry = items.pairs(item)
     start, end = lists.range(items.terms[entry], low[run], high[run])
     size = end - start
@@ -395,17 +462,20 @@ def ranked_search(documents: DataFrame, items: DataFrame, k: int = TOP) -> DataF
     give an empty result.
     """
     spark = documents.sparkSession
-    index = materialize(spark, build_index(documents), "index")
+    with settings(spark, BY_TEXT):
+        index = materialize(spark, build_index(documents), "index")
     numbered = materialize(spark, only(items, "item_id", "text").withColumn("number", F.monotonically_increasing_id()), "items")
     size = numbered.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
     corpus = index.agg(F.sum("n_docs").alias("n"), F.sum("n_terms").alias("terms")).first()
-    found = spark.createDataFrame([], FOUND)
+    passes = []
     if corpus["terms"]:
         groups = max(-(-size["n"] // ITEMS), -(-(size["chars"] or 0) // ITEM_CHARS))
         for group in range(groups):
             part = numbered.filter(F.pmod(F.xxhash64("number"), F.lit(groups)) == group).select("number", "text").collect()
-            passed = search(index, [r["number"] for r in part], [r["text"] for r in part], k, corpus["n"], corpus["terms"])
-            found = found.union(passed)
+            with settings(spark, BY_BLOCK):
+                passed = search(index, [r["number"] for r in part], [r["text"] for r in part], k, corpus["n"], corpus["terms"])
+                passes.append(materialize(spark, passed, "found"))
+    found = reduce(DataFrame.union, passes) if passes else spark.createDataFrame([], FOUND)
     order = F.desc("score"), F.asc_nulls_last("doc_id")
     for keys in (("number", "slot"), ("number",)):
         best = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -259,6 +260,37 @@ def test_block_search_opens_few_intervals(monkeypatch):
         assert short > 100 or scored < n_docs / 2
 
 
+def test_blocks_do_not_depend_on_the_batches_of_texts(monkeypatch):
+    """Texts of small batches meet in one block, those of a large batch are held in blocks only."""
+    monkeypatch.setattr(ranked, "BLOCK", 100)
+    rng = random.Random(12)
+    rows = [(k, "x" * rng.choice([0, 1, 9, 30, 70, 100, 250])) for k in range(300)] + [(300, None)]
+    whole = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["doc_id", "text"])
+    for size in (1, 7, 301):
+        blocks = list(ranked._texts_of_blocks(whole.slice(k, size) for k in range(0, 301, size)))
+        assert [tuple(r.values()) for b in blocks for r in b.to_pylist()] == rows
+        lengths = [[len(t or "") for t in b.column(1).to_pylist()] for b in blocks]
+        assert all(sum(x) <= 100 or len(x) == 1 for x in lengths)
+        assert all(sum(x) + y[0] > 100 for x, y in zip(lengths, lengths[1:]))
+
+
+def test_search_is_the_same_in_small_parts_and_holds_little(spark, docs, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{int(rng.paretovariate(0.6)) % 100_000}" for _ in range(20_000)]
+    rows = [" ".join(rng.choices(words, k=500)) for _ in range(1200)]
+    data, offsets = np.frombuffer("".join(rows).encode(), np.uint8), np.cumsum([0] + [len(r) for r in rows])
+    tracemalloc.start()
+    ranked._postings(data, offsets)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 15 * len(data)
+    asked = docs.selectExpr("doc_id AS item_id", "text")
+    want = sorted(map(str, ranked.ranked_search(docs, asked).collect()))
+    monkeypatch.setattr(ranked, "SLICE", 20)
+    monkeypatch.setattr(ranked, "PART", 1)
+    assert sorted(map(str, ranked.ranked_search(docs, asked).collect())) == want
+
+
 def test_long_text_has_the_postings_of_its_slices(monkeypatch):
     monkeypatch.setattr(ranked, "BLOCK", 50)
     text = " ".join(["Éa", "b9", "C", "x" * 120, "é"] * 30)
